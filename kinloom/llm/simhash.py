@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, position, read, small_batches, utf8
+from .common import cut, join_counted, pick, position, read, small_batches, utf8
 
 SEED = 42
 RADIUS = 3
@@ -241,9 +241,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = cut(fingerprints(docs, id_col, text_col))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     comp = components(links(distinct, radius, bucket))
-    named = distinct.join(comp.select(F.col("u").alias("fp"), F.col("v").alias("root")), "fp", "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    of_fp = cut(named.join(lowest, "root").select("fp", "component_id"))
+    roots = comp.select(F.col("u").alias("fp"), F.col("v").alias("root"))
+    linked = roots.union(roots.select("root", "root").distinct())
+    named = distinct.join(linked, "fp", "left")
+    lowest = cut(named.where("root is not null").groupBy("root").agg(F.min("low").alias("least")))  # of components with links
+    of_fp = cut(join_counted(named, lowest, "root").select("fp", F.coalesce("least", "low").alias("component_id")))
     return fps.join(of_fp, "fp").select("doc_id", "fp", "component_id")
 
 
