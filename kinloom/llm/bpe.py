@@ -18,6 +18,7 @@ Defined cases: null counts as empty; an empty text has no ids; repeated rows eac
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from functools import lru_cache
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from .common import position, pick, read, small_batches
 
 #: Chunks (and words) a worker remembers before it starts anew.
-MEMORY = 180_000
+MEMORY = 250_000
 _SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD_SPACES = regex.compile(r"[\x1c-\x1f]")
 _END = "\ue000"
@@ -108,9 +109,9 @@ class WordBpe:
         self.automaton = ahocorasick.Automaton()
         for i, s in spelled.items():
             if self._merge(self._symbols(s)) == [i]:  # else no text ever gives this token
-                self.automaton.add_word(s, (len(s), i))
+                self.automaton.add_word(s, (len(s.removesuffix(_END)), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.known_words = Remembered(MEMORY // 3)
         self.known = Remembered(MEMORY)
 
@@ -132,32 +133,32 @@ class WordBpe:
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether a followed by b stays as it is."""
-        got = self.pairs.get((a, b))
+        key = a << 20 | b
+        got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) > 2 * MEMORY:
+            if len(self.pairs) > MEMORY:
                 self.pairs.clear()
-            got = self.pairs[a, b] = self._merge(self._symbols(self.spelled[a]) + self._symbols(self.spelled[b])) == [a, b]
+            got = self.pairs[key] = self._merge(self._symbols(self.spelled[a]) + self._symbols(self.spelled[b])) == [a, b]
         return got
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one word (printable bytes, without the end mark)."""
         n = len(word)
-        last: list[int | None] = [None] * (n + 1)
-        back = [0] * (n + 1)
-        pairs = self.pairs
+        last, back = [-1] * (n + 1), [0] * (n + 1)
+        known = self.pairs.get
         for end, (size, token) in self.automaton.iter(word + _END):
-            to = end + 1
-            if to == n or size == 1 and to > n:
-                continue  # the last byte and the end mark are one symbol
-            to = min(to, n)
-            start = to - size + (end == n)
-            if last[to] is not None:
+            if end == n:
+                to = n  # the last byte and the end mark are one symbol
+            elif (to := end + 1) == n:
                 continue
+            if last[to] >= 0:
+                continue
+            start = to - size
             if start:
                 before = last[start]
-                if before is None:
+                if before < 0:
                     continue
-                good = pairs.get((before, token))
+                good = known(before << 20 | token)
                 if good is None:
                     good = self.compatible(before, token)
                 if not good:
@@ -167,7 +168,8 @@ class WordBpe:
         while at:
             ids.append(last[at])
             at = back[at]
-        return ids[::-1]
+        ids.reverse()
+        return ids
 
     def _chunk(self, chunk: str) -> tuple[int, str, str]:
         """Number of ids, ids and decoded tokens of one white-space separated chunk."""
@@ -186,20 +188,28 @@ class WordBpe:
             ids += got
         return len(ids), " ".join(map(str, ids)), " ".join([self.tokens[i] for i in ids])
 
-    def _parts(self, text: str):
+    def _chunks(self, chunks: list[str]) -> list[tuple[int, str, str]]:
         known = self.known
-        for k, part in enumerate(self.specials.split(text) if self.specials and "<|" in text else [text]):
-            if k % 2:
-                yield 1, str(self.special[part]), part
-                continue
-            for c in _SPACES.split(part) if _ODD_SPACES.search(part) else part.split():
-                got = known[c]
-                if got is None:
-                    got = self._chunk(c)
-                    if len(c) < 100:
-                        known.put(c, got)
-                if got[0]:
-                    yield got
+        got = [known[c] for c in chunks]
+        if None in got:
+            for k, c in enumerate(chunks):
+                if got[k] is None:
+                    found = known[c]
+                    if found is None:
+                        found = self._chunk(c)
+                        if len(c) < 100:
+                            known.put(c, found)
+                    got[k] = found
+        return got
+
+    def _parts(self, text: str) -> list[tuple[int, str, str]]:
+        """Number of ids, ids and tokens of the text's chunks and special tokens."""
+        if (not self.specials or "<|" not in text) and not _ODD_SPACES.search(text):
+            return self._chunks(text.split())
+        out = []
+        for k, part in enumerate(self.specials.split(text) if self.specials else [text]):
+            out += [(1, str(self.special[part]), part)] if k % 2 else self._chunks([c for c in _SPACES.split(part) if c])
+        return out
 
     def encode(self, text: str) -> list[int]:
         return [int(x) for _, ids, _ in self._parts(text) for x in ids.split()]
@@ -210,9 +220,9 @@ class WordBpe:
 
     def digest(self, text: str | None) -> tuple[int, str, str]:
         """Number of ids, SHA-256 of the ids joined by a space, SHA-256 of the decoded text."""
-        parts = list(self._parts(text or ""))
-        sha = lambda k: hashlib.sha256(" ".join([p[k] for p in parts]).encode("utf-8", "surrogatepass")).hexdigest()
-        return sum([p[0] for p in parts]), sha(1), sha(2)
+        n, ids, tokens = zip(*parts) if (parts := self._parts(text or "")) else ((), (), ())
+        sha = lambda parts: hashlib.sha256(" ".join(parts).encode("utf-8", "surrogatepass")).hexdigest()
+        return sum(n), sha(ids), sha(tokens)
 
 
 @lru_cache(maxsize=1)
@@ -228,6 +238,8 @@ def _mapped(docs: DataFrame, text_col: str, path: str, names: list[str], kinds:
 
     def run(batches):
         coder = load(path)
+        gc.freeze()  # the memory of chunks has no cycles; walking it again and again takes a third of the time
+        gc.set_threshold(200_000, 50, 1000)
         for b in batches:
             cols = list(zip(*[make(coder, t) for t in b.column(at).to_pylist()])) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[*[f"c{i}" for i in kept], *names])
