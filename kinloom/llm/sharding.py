@@ -16,6 +16,8 @@ checksum 0); repeated rows are rows like others; rows that tie in every key are
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,12 +25,17 @@ from .common import cut, join_counted, pick, read
 
 SHARDS = 16
 SEED = "kinloom-7"
-RANGES = 4096
+#: Rows of a range, about; there are 16**2 to 16**4 ranges. The result is the same whatever their number.
+RANGE_ROWS = 50_000
+
+
+def _digits(rows: int) -> int:
+    """Hex digits that name a range."""
+    return max(2, min(4, math.ceil(math.log(max(1, rows) / RANGE_ROWS, 16))))
 
 
-def _hex_range(h):
-    """The first three hex digits as a number from 0 to RANGES - 1."""
-    return F.conv(F.substring(h, 1, 3), 16, 10).cast("int")
+def _hex_range(h, digits: int):
+    return F.conv(F.substring(h, 1, digits), 16, 10).cast("int")
 
 
 def interleave(rows: DataFrame, source_col: str = "source", id_col: str = "doc_id", tie_cols: tuple[str, ...] = (), shards: int = SHARDS, seed: str = SEED) -> DataFrame:
@@ -40,7 +47,10 @@ def interleave(rows: DataFrame, source_col: str = "source", id_col: str = "doc_i
     plain = rows.toDF(*col.values())
     src, key, ties = col[source_col], col[id_col], [col[c] for c in tie_cols]
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit(""))))
-    dealt = cut(plain.withColumn("h", h).withColumn("bucket", _hex_range(F.col("h"))).withColumn("stratum", F.coalesce(F.concat(F.lit("s"), F.col(src).cast("string")), F.lit("n"))))
+    hashed = cut(plain.withColumn("h", h).withColumn("stratum", F.coalesce(F.concat(F.lit("s"), F.col(src).cast("string")), F.lit("n"))))
+    digits = _digits(hashed.count())
+    ranges = 16**digits
+    dealt = hashed.withColumn("bucket", _hex_range(F.col("h"), digits))
     order = ["h", key, *ties]
 
     counts = dealt.groupBy("stratum", "bucket").agg(F.count("*").alias("n"))
@@ -50,11 +60,11 @@ def interleave(rows: DataFrame, source_col: str = "source", id_col: str = "doc_i
     ranked = join_counted(within, offsets, ["stratum", "bucket"], "inner")
     rank = F.col("before") + F.col("r")
     fraction = (2 * rank - 1).cast("double") / (2 * F.col("total")).cast("double")
-    spread = cut(ranked.select(*plain.columns, "h", "stratum", fraction.alias("fraction")).withColumn("range", F.least(F.lit(RANGES - 1), F.floor(F.col("fraction") * RANGES)).cast("int")))
+    spread = cut(ranked.select(*plain.columns, "h", "stratum", fraction.alias("fraction")).withColumn("range", F.least(F.lit(ranges - 1), F.floor(F.col("fraction") * ranges)).cast("int")))
 
-    found = dict(spread.groupBy("range").count().collect())  # at most RANGES rows
+    found = dict(spread.groupBy("range").count().collect())  # at most `ranges` rows
     total, before, at = sum(found.values()), [], 0
-    for k in range(RANGES):
+    for k in range(ranges):
         before.append(at)
         at += found.get(k, 0)
     placed = spread.withColumn("r", F.row_number().over(Window.partitionBy("range").orderBy("fraction", "stratum", *order)))
