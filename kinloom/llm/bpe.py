@@ -178,7 +178,7 @@ class WordBpe:
         else:
             low, words = chunk.lower(), self.words
         ids: list[int] = []
-        for m in words.findall(low):
+        for m in (low,) if low.isalpha() and low.isascii() else words.findall(low):
             got = self.known_words[m]
             if got is None:
                 word = m if m.isascii() and m.isprintable() else "".join([self.bytes[b] for b in m.encode("utf-8", "surrogatepass")])
