@@ -1,4 +1,9 @@
 """All queries by name, and SQL for each that SQL can express."""
 
+from .plans import faces
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (faces,):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
