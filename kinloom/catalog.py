@@ -1,9 +1,9 @@
 """All queries by name, and SQL for each that SQL can express."""
 
-from .plans import faces
+from .plans import faces, journals
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (faces,):
+for _module in (faces, journals):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
