@@ -20,14 +20,14 @@ def process(photos: DataFrame, build: Callable[[], Callable[[bytes], list[dict]]
 
     def run(batches):
         detect = build()
+        blank = {c.split()[0]: None for c in FACES.split(", ")}
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
-                    rows += [{"path": path, "face_index": k, "error": None} | face for k, face in enumerate(detect(bytes(content)))]
+                    rows += [blank | {"path": path, "face_index": k} | face for k, face in enumerate(detect(bytes(content)))]
                 except Exception as e:  # one bad photo must not lose the others
-                    rows.append({"path": path, "error": f"{type(e).__name__}: {e}"})
-            columns = [c.split()[0] for c in FACES.split(", ")]
-            yield pd.DataFrame(rows, columns=columns).astype({"face_index": "Int32"})
+                    rows.append(blank | {"path": path, "error": f"{type(e).__name__}: {e}"})
+            yield pd.DataFrame(rows, columns=list(blank), dtype=object).astype({"face_index": "Int32"} | dict.fromkeys(("x0", "y0", "x1", "y1", "det_score"), "float64"))
 
     return photos.select("path", "content").mapInPandas(run, FACES)
