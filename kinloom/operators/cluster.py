@@ -19,6 +19,10 @@ from ..functions.vector import unit_distance
 BLOCK_FACES = 4_000
 
 
+def _type(faces: DataFrame) -> str:
+    return faces.schema["event_id"].dataType.simpleString()
+
+
 def weighted_centroid(x: np.ndarray, quality: np.ndarray) -> np.ndarray:
     w = QUALITY_WEIGHT_BASE + quality
     c = (x * w[:, None]).sum(axis=0) / w.sum() if w.sum() > 0 else x.mean(axis=0)
@@ -124,7 +128,7 @@ def pass1(faces: DataFrame, s: Settings = Settings()) -> DataFrame:
                 group[members] = pdf["face_id"][members].min()
         return pd.DataFrame({"event_id": pdf["event_id"], "face_id": pdf["face_id"], "group": group})
 
-    return blocked(faces).groupBy("event_id", "block").applyInPandas(run, "event_id long, face_id string, `group` string")
+    return blocked(faces).groupBy("event_id", "block").applyInPandas(run, f"event_id {_type(faces)}, face_id string, `group` string")
 
 
 def centroids(members: DataFrame, key: list[str]) -> DataFrame:
@@ -174,7 +178,7 @@ def pass2(faces: DataFrame, groups: DataFrame, s: Settings = Settings(), line: f
         names = list(up)
         return pd.DataFrame({"event_id": [key[0]] * len(names), "group": names, "root": [find(g) for g in names], "blocked": [stopped] * len(names)})
 
-    return photos.groupBy("event_id").cogroup(pairs.groupBy("event_id")).applyInPandas(run, "event_id long, `group` string, root string, blocked long")
+    return photos.groupBy("event_id").cogroup(pairs.groupBy("event_id")).applyInPandas(run, f"event_id {_type(faces)}, `group` string, root string, blocked long")
 
 
 def persons(faces: DataFrame, groups: DataFrame, merged: DataFrame, s: Settings = Settings()) -> DataFrame:
