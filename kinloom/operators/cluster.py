@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import EXACT_LIMIT, QUALITY_WEIGHT_BASE, Settings
 from ..functions.vector import unit_distance
+from ..session import cut
 
 BLOCK_FACES = 4_000
 
@@ -208,8 +209,8 @@ def attach_small(faces: DataFrame, assigned: DataFrame, small: DataFrame, line:
 def identities(faces: DataFrame, s: Settings = Settings(), line: float | None = None, small_line: float | None = None) -> DataFrame:
     """(event_id, face_id, person_id) of all accepted faces (face_id, event_id, photo_id, x, quality, height)."""
     big, small = faces.where(F.col("height") >= s.second_class_face_px), faces.where(F.col("height") < s.second_class_face_px)
-    groups = pass1(big, s)
-    found = persons(big, groups, pass2(big, groups, s, line), s)
+    groups = cut(pass1(big, s))  # linkage is the dear part: once only
+    found = cut(persons(big, groups, pass2(big, groups, s, line), s))
     return found.unionByName(attach_small(big, found, small, s.second_class_assign if small_line is None else small_line))
 
 

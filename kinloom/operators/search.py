@@ -9,11 +9,26 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import unit_distance
 
+#: Rows of a block that is broadcast (a vector each).
+BLOCK = 2_000
+
+
+def _blocks(rows: DataFrame, key: str) -> list[DataFrame]:
+    """The rows in blocks of about BLOCK, each small enough to broadcast."""
+    n = max(1, -(-rows.count() // BLOCK))
+    return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
 
 def nearest_persons(queries: DataFrame, persons: DataFrame, line: float, margin: float) -> DataFrame:
-    """First tier: the nearest person of each query (q, qx), given only if near enough and clearly nearer than the next."""
-    far = queries.crossJoin(F.broadcast(persons)).select("q", unit_distance(F.col("qx"), F.col("centroid")).alias("d"), "person")  # a stated query set against a few hundred persons
-    two = far.groupBy("q").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "person"))), 1, 2).alias("n"))
+    """First tier: the nearest person of each query (q, qx), given only if near enough and clearly nearer than the next.
+
+    Persons go to the queries' partitions block by block; each block leaves its two nearest."""
+    two = None
+    for block in _blocks(persons.select("person", "centroid"), "person"):
+        far = queries.crossJoin(F.broadcast(block)).select("q", F.struct(unit_distance(F.col("qx"), F.col("centroid")).alias("d"), "person").alias("n"))
+        best = far.groupBy("q").agg(F.slice(F.array_sort(F.collect_list("n")), 1, 2).alias("n"))
+        two = best if two is None else two.unionByName(best)
+    two = two.groupBy("q").agg(F.slice(F.array_sort(F.flatten(F.collect_list("n"))), 1, 2).alias("n"))
     best, second = F.element_at("n", 1), F.try_element_at("n", F.lit(2))
     gap = second["d"] - best["d"]
     return two.select("q", F.when((best["d"] < line) & (F.coalesce(gap, F.lit(1.0)) >= margin), best["person"]).alias("person"), F.round(best["d"], 6).alias("d"), F.round(gap, 6).alias("margin"))
@@ -22,11 +37,14 @@ def nearest_persons(queries: DataFrame, persons: DataFrame, line: float, margin:
 def nearest_faces(queries: DataFrame, faces: DataFrame, n: int) -> DataFrame:
     """Second tier: the n nearest faces of each query, leftovers included.
 
-    The stated query set goes to every partition of faces, which keeps its own best n."""
+    The stated query set goes to every partition of faces, block by block; each partition keeps its own best n."""
     d = F.round(unit_distance(F.col("qx"), F.col("x")), 6)
-    far = faces.select("face_id", "vec_id", "x").crossJoin(F.broadcast(queries)).where("vec_id <> q").select("q", "face_id", d.alias("d"))
-    near = far.withColumn("part", F.spark_partition_id())
-    own = near.withColumn("k", F.row_number().over(Window.partitionBy("q", "part").orderBy("d", "face_id"))).where(F.col("k") <= n)
+    own = None
+    for block in _blocks(queries, "q"):
+        far = faces.select("face_id", "vec_id", "x").crossJoin(F.broadcast(block)).where("vec_id <> q").select("q", "face_id", d.alias("d"))
+        near = far.withColumn("part", F.spark_partition_id())
+        best = near.withColumn("k", F.row_number().over(Window.partitionBy("q", "part").orderBy("d", "face_id"))).where(F.col("k") <= n)
+        own = best if own is None else own.unionByName(best)
     best = own.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy("d", "face_id"))).where(F.col("k") <= n)
     return best.select("q", "face_id", "d")
 

@@ -1,8 +1,10 @@
-"""Session with the settings the engine relies on."""
+"""Session with the settings the engine relies on, and the folder that driver and executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "kinloom", **conf: str) -> SparkSession:
@@ -14,3 +16,17 @@ def session(name: str = "kinloom", **conf: str) -> SparkSession:
         "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     return SparkSession.builder.appName(name).config(map=settings | conf).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named in spark.checkpoint.dir; a local one only where none is set (tests)."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinloom-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write the rows to the shared folder and go on from there: nothing before is computed again, even if executors are lost."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

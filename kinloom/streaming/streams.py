@@ -5,12 +5,13 @@ compare a stream with its twin."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 
 def follow(spark: SparkSession, path: str, schema, files_per_batch: int = 8) -> DataFrame:
     """New Parquet files of a folder, as a stream."""
@@ -22,14 +23,10 @@ def follow_journal(spark: SparkSession, path: str, schema: str, files_per_batch:
     return spark.readStream.schema(schema).option("mode", "DROPMALFORMED").option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def shared(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinloom-")
-
-
 def drain(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream until its input ends; the rows of the last batch (complete) or of all batches (append)."""
     spark = stream.sparkSession
-    folder = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
     def write(batch: DataFrame, number: int) -> None:  # the same number writes the same folder again, so a retried batch counts once
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={0 if mode == 'complete' else number}")
