@@ -6,12 +6,11 @@ case, or equal an operator's own working names, do no harm.
 
 from __future__ import annotations
 
-import tempfile
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_folder  # noqa: F401
+
 #: Rows of one Arrow batch: bounds what a Python worker holds when texts are long.
 BATCH_ROWS = 512
 #: A table of fixed-width rows is broadcast only when it has been counted to be this small.
@@ -44,21 +43,6 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return plain.select(*[F.col(f"c{i}").alias(out) for out, i in at.items()])
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="kinloom-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from there, so that lost executors cost little."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def join_counted(left: DataFrame, right: DataFrame, on: list[str] | str, how: str = "left", limit: int = BROADCAST_ROWS) -> DataFrame:
     """Join with a cut table of fixed-width rows: broadcast up to `limit` rows, else shuffled,
     where both sides are plain exchanges and adaptive execution can split hot keys."""
@@ -66,13 +50,5 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str] | str, how: st
     return left.join(F.broadcast(right) if few else right.hint("merge"), on, how)
 
 
-def rows_of(batches, names: list[str], out: pa.Schema, make):
-    """Apply make(columns as lists) -> columns as lists to every Arrow batch."""
-    for batch in batches:
-        if batch.num_rows:
-            cols = make(*[batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names])
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(cols, out)], schema=out)
-
-
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")

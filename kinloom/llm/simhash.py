@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import cut, join_counted, pick, position, read, small_batches, utf8
 
 SEED = 42
@@ -209,40 +210,12 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     return placed.mapInArrow(joined, "u long, v long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(u, v): v is the smallest value reachable from u, for every u in an edge but the smallest itself.
-
-    Alternating large-star and small-star steps; each round is cut, and rounds end when the
-    edges stay as they were."""
-
-
-    def state_of(e):
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-
-    now = cut(edges.filter("u <> v").distinct())
-    state = state_of(now)
-    while state[0]:
-        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
-        now = cut(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        seen = state_of(now)
-        if seen == state:
-            break
-        state = seen
-    return now
-
-
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     small_batches(docs.sparkSession)
     fps = cut(fingerprints(docs, id_col, text_col))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    comp = components(links(distinct, radius, bucket))
-    roots = comp.select(F.col("u").alias("fp"), F.col("v").alias("root"))
-    linked = roots.union(roots.select("root", "root").distinct())
+    linked = components(links(distinct, radius, bucket), "u", "v").select(F.col("node").alias("fp"), F.col("component").alias("root"))
     named = distinct.join(linked, "fp", "left")
     lowest = cut(named.where("root is not null").groupBy("root").agg(F.min("low").alias("least")))  # of components with links
     of_fp = cut(join_counted(named, lowest, "root").select("fp", F.coalesce("least", "low").alias("component_id")))

@@ -256,7 +256,7 @@ def test_simhash_crowded_buckets(spark):
     fps += [draw.getrandbits(64) for _ in range(500)]
     distinct = spark.createDataFrame([(simhash.signed(f), i) for i, f in enumerate(sorted(set(fps)))], "fp long, low long")
     for bucket in (40, 4096):
-        comp = {r.u: r.v for r in simhash.components(simhash.links(distinct, bucket=bucket)).collect()}
+        comp = {r.node: r.component for r in simhash.components(simhash.links(distinct, bucket=bucket), "u", "v").collect()}
         got = defaultdict(set)
         for f in set(fps):
             got[comp.get(simhash.signed(f), simhash.signed(f))].add(f)
@@ -399,3 +399,38 @@ def test_empty_tables(spark, tmp_path):
 
     for name, f in (queries.QUERIES | {"pipeline": corpus_pipeline.run}).items():
         assert f(spark, str(tmp_path)).count() == 0, name
+
+
+def test_null_rows_everywhere(spark, tmp_path):
+    """Rows that are null in all columns, twice, beside a few real ones: each keeps its row."""
+    import corpus_pipeline
+
+    n = {}
+    for t in ("documents", "benchmark", "pages"):
+        real = spark.read.parquet(f"{DATA}/{t}.parquet")
+        nulls = spark.range(2).selectExpr(*[f"cast(null as {k}) `{c}`" for c, k in real.dtypes])
+        real.limit(20).unionAll(nulls).write.parquet(f"{tmp_path}/{t}.parquet")
+        n[t] = 22
+    for name, f in queries.QUERIES.items():
+        got = f(spark, str(tmp_path)).collect()
+        key = "page_id" if "page_id" in got[0].asDict() else "doc_id"
+        assert len(got) == 22 and sum(r[key] is None for r in got) == 2, name
+    assert corpus_pipeline.run(spark, str(tmp_path)).where("doc_id is null").count() == 0  # wordless, so rejected
+
+
+def test_pipeline_stages(spark, folder):
+    """Each stage keeps the columns and does what its operator decides."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    kept = {r["doc_id"] for r in result(spark, folder, "op6_quality") if r["kept"]}
+    one = stages["quality"](spark, docs, folder)
+    assert one.columns == docs.columns and {r.doc_id for r in one.select("doc_id").collect()} == kept
+    three = stages["decontamination"](spark, docs, folder)
+    hit = {r["doc_id"] for r in result(spark, folder, "op3_decontamination") if r["contaminated"]}
+    assert three.columns == docs.columns and not hit & {r.doc_id for r in three.select("doc_id").collect()} and three.count() == sum(r["doc_id"] not in hit for r in result(spark, folder, "op3_decontamination"))
+    four = stages["secrets"](spark, docs, folder)
+    assert four.columns == docs.columns and four.count() == docs.count() and not four.where(f"text like '%{SECRET}%'").count()
+    ids = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
+    assert ids and ids <= kept - hit
