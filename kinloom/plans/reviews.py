@@ -157,3 +157,18 @@ def worst_split(spark, d):
     s = scoring.splits(_pred(planted.faces(spark, d)))
     best = s.groupBy("event_id").agg(F.max(F.struct("persons", (-F.col("truth")).alias("k"))).alias("b"))
     return best.select("event_id", (-F.col("b.k")).alias("truth"), "b.persons")
+
+
+@query("SELECT doc_id, least(greatest(coalesce(try_cast(CASE WHEN doc_id % 3 = 0 THEN 'x' ELSE (doc_id % 200)::VARCHAR END AS DOUBLE) , 42.0), 1.0), 150.0) AS knob, contains(lower(source), 'rc1') AS shown FROM documents")
+def knobs_and_names(spark, d):
+    from ..operators import sentences
+
+    x = read(spark, d, "documents")
+    raw = F.when(F.col("doc_id") % 3 == 0, "x").otherwise((F.col("doc_id") % 200).cast("string"))
+    return x.select("doc_id", sentences.clamped_knob(raw, 42.0, 1.0, 150.0).alias("knob"), sentences.matches_name(F.col("source"), " RC1").alias("shown"))
+
+
+@query(f"WITH {FACES}, {PRED}, {CELL}, t AS (SELECT event_id, truth, sum(n) AS n, max(n) AS top FROM cell GROUP BY 1, 2) SELECT event_id, round(sum(top) / sum(n), 6) AS completeness FROM t GROUP BY 1")
+def completeness(spark, d):
+    c = _pred(planted.faces(spark, d)).where("pred is not null").groupBy("event_id", "truth", "pred").agg(F.count("*").alias("n")).groupBy("event_id", "truth").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
+    return c.groupBy("event_id").agg(F.round(F.sum("top") / F.sum("n"), 6).alias("completeness"))
