@@ -19,6 +19,7 @@ that sorts first; repeated rows each get a row (and each count in training).
 from __future__ import annotations
 
 import re
+import uuid
 from functools import lru_cache
 
 import ahocorasick
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import pick, read, small_batches
 
 #: Word types a worker remembers, characters handled at once, weight of the prior in pieces' counts.
-TYPES = 250_000
+TYPES = 500_000
 CHARACTERS = 150_000
 PRIOR_COUNT = 2000.0
 #: Log-probability of a character that no piece has: the same in every language.
@@ -61,38 +62,34 @@ class Pieces:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         seen: dict[str, int] = {}
         for i in range(model.get_piece_size()):
-            if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
+            if not (len(model.id_to_piece(i)) > 255 or model.is_control(i) or model.is_unknown(i) or model.is_byte(i)):
                 piece = model.id_to_piece(i).lower()
                 seen.setdefault(piece, len(seen))
         self.count = len(seen) + 1  # the last stands for unknown characters
         self.automaton = ahocorasick.Automaton()
         for piece, k in seen.items():
-            self.automaton.add_word(piece, (len(piece), k))
+            self.automaton.add_word(piece, len(piece) << 24 | k)
         self.automaton.make_automaton()
-        self.single = {p for p in seen if len(p) == 1}
+        self.single = np.zeros(0x110000, bool)  # characters that are pieces, and the separator
+        self.single[[ord(p) for p in seen if len(p) == 1] + [10]] = True
         rank = 1 / (np.arange(len(seen)) + 50.0)
         self.prior = np.concatenate([np.log(rank / rank.sum()), [UNKNOWN]])
 
     def lattice(self, types: list[str]):
         """(word, start, end, piece) of every piece in every marked type, by end and word; and the lengths."""
-        word, end, size, piece = [], [], [], []
+        text = "\n" + "\n".join(["▁" + t for t in types])  # no piece has the separator
         lengths = np.array([len(t) + 1 for t in types])
-        unknown = self.count - 1
-        for k, t in enumerate(types):
-            marked = "▁" + t
-            for e, (n, p) in self.automaton.iter(marked):
-                word.append(k)
-                end.append(e + 1)
-                size.append(n)
-                piece.append(p)
-            for e, c in enumerate(marked):
-                if c not in self.single:
-                    word.append(k)
-                    end.append(e + 1)
-                    size.append(1)
-                    piece.append(unknown)
-        word, end, size, piece = (np.array(x, np.int64) for x in (word, end, size, piece))
-        order = np.lexsort((word, end))
+        first = np.concatenate([[0], np.cumsum(lengths + 1)[:-1]]) + 1
+        owner = np.repeat(np.arange(len(types)), lengths + 1)
+        found = np.array([e << 32 | c for e, c in self.automaton.iter(text)], np.int64)
+        at, size, piece = found >> 32, found >> 24 & 0xFF, found & 0xFFFFFF
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        odd = np.flatnonzero(~self.single[points])
+        at = np.concatenate([at, odd])
+        size, piece = np.concatenate([size, np.ones(len(odd), np.int64)]), np.concatenate([piece, np.full(len(odd), self.count - 1)])
+        word = owner[at]
+        end = at - first[word] + 1
+        order = np.argsort(end * len(types) + word, kind="stable")
         word, end, size, piece = word[order], end[order], size[order], piece[order]
         return word, end - size, end, piece, lengths
 
@@ -226,6 +223,17 @@ class Scorer:
         return out
 
 
+_KEPT: dict[str, Scorer] = {}
+
+
+def kept_scorer(name: str, log_p: np.ndarray, pieces: Pieces) -> Scorer:
+    """The worker's scorer of one call of `identify`, with the types that earlier tasks met."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Scorer(log_p, pieces)
+    return _KEPT[name]
+
+
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_text_col: str = "text", train_lang_col: str = "lang", path: str | None = None, more: dict[str, str] | None = None) -> DataFrame:
     """(id, further columns of `more`, lang_pred, score) for every row of docs, by models learnt from all of train with a language."""
     spark = docs.sparkSession
@@ -237,9 +245,10 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
     base = pick(docs, id=id_col, text=text_col, **(more or {}))
     kept = [i for i, c in enumerate(base.columns) if c != "text"]
     names = [base.columns[i] for i in kept] + ["lang_pred", "score"]
+    call = uuid.uuid4().hex
 
     def run(batches):
-        scorer = Scorer(sent.value, load(path))
+        scorer = kept_scorer(call, sent.value, load(path))
         for b in batches:
             split = [words(t) for t in b.column(1).to_pylist()]
             best, score = ["und"] * len(split), [0.0] * len(split)

@@ -140,7 +140,7 @@ def test_language_odd_rows(spark, folder):
 
 def test_forward_sums_all_segmentations():
     pieces = langid.load(langid.default_vocabulary())
-    known = {p: math.exp(pieces.prior[k]) for p, (n, k) in ((key, pieces.automaton.get(key)) for key in pieces.automaton.keys())}
+    known = {p: math.exp(pieces.prior[pieces.automaton.get(p) & 0xFFFFFF]) for p in pieces.automaton.keys()}
 
     def total(s):
         return sum(known.get(s[:n], math.exp(langid.UNKNOWN) if n == 1 else 0) * (total(s[n:]) if n < len(s) else 1) for n in range(1, len(s) + 1))
