@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 FACES = "path string, face_index int, x0 double, y0 double, x1 double, y1 double, det_score double, embedding array<float>, error string"
 
 
-def process(photos: DataFrame, build: Callable[[], Callable[[bytes], list[dict]]], batch_rows: int = 16) -> DataFrame:
+def process(photos: DataFrame, build: Callable[[], Callable[[bytes], list[dict]]], batch_bytes: int = 32 << 20) -> DataFrame:
     """A row for each face of photos (path, content). `build` makes a function from bytes to faces
     (x0, y0, x1, y1, det_score, embedding); a photo without faces gives none, one that fails a row with its error."""
-    photos.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    photos.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(batch_bytes))
 
     def run(batches):
         detect = build()
