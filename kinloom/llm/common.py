@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import cut, shared_folder  # noqa: F401
 
-#: Rows of one Arrow batch: bounds what a Python worker holds when texts are long.
-BATCH_ROWS = 512
+#: Rows and bytes of one Arrow batch: bounds what a Python worker holds when values are long.
+BATCH_ROWS, BATCH_BYTES = 512, 8 << 20
 #: A table of fixed-width rows is broadcast only when it has been counted to be this small.
 BROADCAST_ROWS = 200_000
 
@@ -22,8 +22,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Hand Python workers few rows at a time (texts may be very long)."""
+    """Hand Python workers little at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def position(df: DataFrame, name: str) -> int:

@@ -35,7 +35,6 @@ RADIUS = 3
 SHINGLE = 3
 PIVOTS = 12
 BUCKET = 4096
-_WHITE = b" \t\n\r\x0b\x0c"
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:

@@ -190,8 +190,7 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Da
 
 def read_archives(archives: DataFrame, name_col: str = "name", content_col: str = "content", keep_payload: bool = True) -> DataFrame:
     """A row for every record of the archives; a broken archive or record raises, with the archive's name."""
-    spark = archives.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    small_batches(archives.sparkSession)
     base = pick(archives, name=name_col, content=content_col)
     names = ["number", "record_id", "record_type", "uri", "refers_to", "payload_bytes", "payload_digest", "payload"]
     kinds = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.binary()]

@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
-from kinloom.llm import bpe, decontaminate, html_extract, langid, quality, queries, secret_scan, sharding, simhash, url_filter, warc
+from kinloom.llm import bpe, decontaminate, html_extract, langid, queries, secret_scan, sharding, simhash, url_filter, warc
 
 DATA = "/root/testdata/sf0.001"
 SECRET = "0123456789abcdef0123456789abcdef01234567"
