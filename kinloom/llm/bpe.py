@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from .common import position, pick, read, small_batches
 
 #: Chunks (and words) a worker remembers before it starts anew.
-MEMORY = 200_000
+MEMORY = 250_000
 _SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD_SPACES = regex.compile(r"[\x1c-\x1f]")
 _END = "\ue000"
