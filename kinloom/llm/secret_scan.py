@@ -18,6 +18,8 @@ each get a row and count as one repository; a null owner or repository is one li
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -142,3 +144,31 @@ def op2_secrets(spark, sf_dir: str) -> DataFrame:
         F.size(F.filter("spans", lambda s: s["live"])).cast("long").alias("n_live"),
         F.size(F.filter("spans", lambda s: s["copied"])).cast("long").alias("n_copied"),
     )
+
+
+def _one_kind(rank: int, kind: str) -> str:
+    """SQL for the spans of one kind: places by running sums over the pieces between matches."""
+    pattern, group, least = KINDS[kind]
+    if kind == "assign":  # letters in either case, spelled out: (?i) there also folds letters beyond ASCII
+        head, bracket, tail = pattern.removeprefix("(?i)").partition(")")
+        pattern = re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", head) + bracket + tail
+    pattern = pattern.replace("'", "''")
+    return f"""
+SELECT r, owner, repo, {rank} AS rank, '{kind}' AS kind, (sum(length(gap)) OVER w + sum(length(match)) OVER w - length(match))::BIGINT AS a, (sum(length(gap)) OVER w + sum(length(match)) OVER w)::BIGINT AS z,
+  regexp_extract(match, '{pattern}', {group}) AS v, length(v) >= {least} AS long
+FROM (SELECT r, source AS owner, doc_id AS repo, unnest(m) AS match, unnest(regexp_split_to_array(text, '{pattern}')[:len(m)]) AS gap, unnest(range(len(m))) AS i
+  FROM (SELECT *, regexp_extract_all(text, '{pattern}') AS m FROM d) WHERE len(m) > 0)
+WINDOW w AS (PARTITION BY r ORDER BY i)"""
+
+
+OP2_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text FROM documents),
+found AS (SELECT * FROM ({" UNION ALL ".join(f"({_one_kind(i, k)})" for i, k in enumerate(KINDS))}) WHERE long),
+copied AS (SELECT v FROM (SELECT DISTINCT v, owner FROM found) GROUP BY v HAVING count(*) >= {COPIED_OWNERS}),
+told AS (SELECT f.*, c.v IS NOT NULL AS copied, len(list_distinct(string_split(f.v, ''))) >= {LIVE_CHARACTERS} AND NOT regexp_matches(f.v, '{PLACEHOLDERS}') AND c.v IS NULL AS live FROM found f LEFT JOIN copied c ON f.v = c.v),
+s AS (SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) FILTER (kind <> 'vendor') AS base, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, rank) AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (copied) AS n_copied
+  FROM told WHERE kind <> 'vendor' OR live GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_copied, 0)::BIGINT AS n_copied FROM d LEFT JOIN s USING (r)
+"""

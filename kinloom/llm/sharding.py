@@ -83,3 +83,17 @@ def op10_sharding(spark, sf_dir: str) -> DataFrame:
     narrow = docs.select("doc_id", "source", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
     out = interleave(narrow, tie_cols=("size", "text_crc32"))
     return out.select(F.col("c0").alias("doc_id"), F.col("c2").alias("size"), F.col("c3").alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The checksum goes by half bytes, the lower half first, with the CRC-32 values (fixed) of the sixteen halves.
+OP10_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, encode(coalesce(text, '')) AS b FROM documents),
+c AS (SELECT r, doc_id, source, octet_length(b)::BIGINT + 1 AS size,
+  xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(regexp_replace(hex(b), '(.)(.)', '\\2\\1', 'g'), ''), lambda x: CASE WHEN x = '' THEN -1 ELSE strpos('0123456789ABCDEF', x)::BIGINT - 1 END)),
+    lambda c, h: CASE WHEN h < 0 THEN c ELSE xor(c >> 4, [0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948, 3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108][(xor(c, h) & 15) + 1]) END)) AS text_crc32 FROM d),
+h AS (SELECT *, md5('{SEED}:' || coalesce(doc_id::VARCHAR, '')) AS h, coalesce('s' || source, 'n') AS stratum FROM c),
+k AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id NULLS FIRST, size, text_crc32) AS k, count(*) OVER (PARTITION BY stratum) AS total FROM h),
+p AS (SELECT *, row_number() OVER (ORDER BY (2 * k - 1)::DOUBLE / (2 * total)::DOUBLE, stratum, h, doc_id NULLS FIRST, size, text_crc32) - 1 AS p, count(*) OVER () // {SHARDS} AS few, count(*) OVER () % {SHARDS} AS more FROM k),
+s AS (SELECT *, CASE WHEN p < more * (few + 1) THEN p // (few + 1) ELSE more + (p - more * (few + 1)) // greatest(1, few) END AS shard FROM p)
+SELECT doc_id, size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY p) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s
+"""
