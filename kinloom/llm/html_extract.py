@@ -10,7 +10,10 @@ the mean entropy of content, and branches of low importance are removed from eac
 Landmarks are given importance beforehand: article and main have 1; menus, headers, footers,
 asides, forms, adverts, notices, comments and the like (by element, role, class or id) have 0.
 If a page has a landmark of the first kind its text is what stands in these; else it is what
-is left of the body. Statistics decide where no landmark does.
+is left of the body. Statistics then remove branches of either. The importance given beforehand
+holds for the landmark, not for what stands in it: it is never removed itself, and where
+statistics would leave none of a page's landmark text (pages that are copies of each other),
+all of it stays.
 
 All statistics are sums by (host, node, feature), so a host with a third of all pages is added
 up before it is shuffled; the removed nodes are joined back only as a counted table.
@@ -185,12 +188,20 @@ class Page:
             out[node, 2, 0] = 1
         return out
 
+    @staticmethod
+    def _low_inside(chain: tuple, low: frozenset) -> bool:
+        """Whether a branch of low importance starts inside the outermost landmark."""
+        at = next(k for k, x in enumerate(chain) if x[2] > 0)
+        given = {chain[at][1]} | {x[1] for x in chain if x[0] in _KEEP}
+        return any(x[1] in low and x[1] not in given for x in chain[at:])
+
     def main_text(self, low: frozenset = frozenset()) -> str:
         """The text blocks that are left when branches of low importance are gone."""
         kept = [(c, t) for c, t in self.blocks if not c or c[-1][2] >= 0]
         marked = [t for c, t in kept if c and c[-1][2] > 0]
         if marked:
-            return "\n".join(marked)
+            left = [t for c, t in kept if c and c[-1][2] > 0 and not self._low_inside(c, low)]
+            return "\n".join(left or marked)
         return "\n".join(t for c, t in kept if not any(x[1] in low for x in c))
 
 

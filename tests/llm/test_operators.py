@@ -395,6 +395,18 @@ def test_html_style_tree(spark):
     assert got[3] == "Story number 3\nIt has 3 parts" and got[100].startswith("Welcome") and got[101] == ""
 
 
+def test_html_style_tree_inside_landmarks(spark):
+    box = '<div class="box7">Subscribe now</div>'
+    pages = [(i, f"http://a/{i}", f"<html><body><article><h1>Title {i}</h1>{box}<p>Story <b>{i}</b> of many.</p></article></body></html>") for i in range(6)]
+    pages += [(10 + i, f"http://copy/{i}", f"<main>{box}<p>The same story.</p></main>") for i in range(5)]
+    pages += [(20 + i, f"http://few/{i}", f"<main>{box}<p>Story {i}.</p></main>") for i in range(2)]
+    got = {r.id: r.text for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    expected = {i: f"Title {i}\nStory {i} of many." for i in range(6)}
+    expected |= {10 + i: "Subscribe now\nThe same story." for i in range(5)}  # nothing would be left of copies
+    expected |= {20 + i: f"Subscribe now\nStory {i}." for i in range(2)}  # too few pages to say
+    assert got == expected
+
+
 def test_html_on_test_pages(spark):
     for r in queries.QUERIES["op1_html"](spark, DATA).collect():
         source = spark.read.parquet(f"{DATA}/pages.parquet").where(f"page_id = {r.page_id}").first().html if r.page_id < 5 else None
