@@ -10,8 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from kinloom.llm.bpe import digests
-from kinloom.llm.common import pick, read, shared_folder
+from kinloom.llm.common import cut, pick, read, shared_folder
 from kinloom.llm.decontaminate import decontaminate
+from kinloom.llm.near_copies import drop_near_copies
 from kinloom.llm.quality import drop_low_quality
 from kinloom.llm.secret_scan import redact
 from kinloom.llm.simhash import drop_near_duplicates
@@ -23,8 +24,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return drop_near_duplicates(docs)
+    """One document of each group of near-duplicates: by fingerprints, and of what is left by five-word shingles."""
+    return drop_near_copies(cut(drop_near_duplicates(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

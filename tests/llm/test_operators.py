@@ -460,3 +460,43 @@ def test_pipeline_stages(spark, folder):
     assert four.columns == docs.columns and four.count() == docs.count() and not four.where(f"text like '%{SECRET}%'").count()
     ids = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
     assert ids and ids <= kept - hit
+
+
+def test_pipeline_leaves_no_near_copies(spark):
+    """Texts with a few words changed, in groups that crowd their shingles, chains and single pairs."""
+    import corpus_pipeline
+    from kinloom.llm import near_copies
+
+    draw = random.Random(5)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for copies, length, changes in [(30, 300, 3), (2, 120, 3), (3, 60, 1), (12, 200, 4)] + [(2, 120, k % 6) for k in range(60)]:
+        text = draw.choices(words, k=length)
+        for _ in range(copies):
+            other = list(text)
+            for k in draw.sample(range(length), changes):
+                other[k] = draw.choice(words)
+            texts.append(" ".join(other))
+    texts += ["", None, "one two", "ONE two", " ".join(words[:50])]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id long, text string")
+
+    def brute(rows):
+        sets = {}
+        for d, t in rows:
+            w = (t or "").lower().split()
+            sets[d] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        ids = sorted(sets)
+        return [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+    every = [(d, t) for d, t in enumerate(texts)]
+    root = {}
+    for u, v in brute(every):  # smallest first: least id of the component
+        lo, hi = sorted((root.get(u, u), root.get(v, v)))
+        root |= {x: lo for x, r in list(root.items()) if r == hi} | {u: lo, v: lo, hi: lo, lo: lo}
+    got = {r.node: r.component for r in near_copies.near_copies(docs).collect()}
+    assert got == root and len(set(root.values())) > 9 and len(root) > 40
+    left = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert left.columns == docs.columns and left.where("doc_id is null").count() == 1
+    assert not brute([(r.doc_id, r.text) for r in left.collect() if r.doc_id is not None])
+    by_fingerprint = simhash.drop_near_duplicates(docs).where("doc_id is not null").collect()
+    assert brute([(r.doc_id, r.text) for r in by_fingerprint])  # what fingerprints alone leave
