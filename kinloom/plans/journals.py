@@ -225,6 +225,14 @@ def album_truth(spark, d):
     return rollup.album_truth(_files(spark, d).where("page_id % 4 <> 1 OR page_id % 5 <> 0").select((F.col("page_id") % 4).alias("event_id"), F.col("sub_album").alias("album")))
 
 
+@query(
+    f"""WITH {PATHS}, p AS (SELECT page_id % 4 AS event_id, CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) ELSE '' END AS album FROM paths), c AS (SELECT event_id, album, count(*) AS n FROM p GROUP BY 1, 2)
+SELECT event_id, count(*) AS albums, round(max(n) / sum(n), 6) AS top_share, count(*) >= 2 AND count_if(album = '') = 0 AND max(n) / sum(n) <= 0.9 AS usable FROM c GROUP BY 1"""
+)
+def album_truth_all(spark, d):
+    return rollup.album_truth(_files(spark, d).select((F.col("page_id") % 4).alias("event_id"), F.col("sub_album").alias("album")))
+
+
 @query("SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'gdrive' WHEN page_id % 4 = 1 THEN 'unsupported' WHEN page_id % 4 = 2 THEN 'local' ELSE 'dropbox' END AS source, CASE WHEN page_id % 4 = 0 THEN 'id_' || page_id END AS folder_id FROM pages")
 def source_dispatch(spark, d):
     link = F.when(F.col("page_id") % 4 == 0, F.format_string("https://drive.google.com/drive/u/1/folders/id_%d?x=1", "page_id")).when(F.col("page_id") % 4 == 1, F.col("url")).when(F.col("page_id") % 4 == 2, F.format_string("/data/%d", "page_id")).otherwise(F.format_string("https://www.dropbox.com/sh/%d", "page_id"))
@@ -293,6 +301,28 @@ def contradictions(spark, d):
     return graph.contradictions(graph.components(_claims(spark, d)), diff)
 
 
+# The same over all rows of events: chains are too long for recursive SQL, so tests compare with brute force.
+def _all_claims(spark, d):
+    return read(spark, d, "events").selectExpr("user_id AS a", "(user_id * 7 + 3) % 150 AS b").distinct()
+
+
+@query()
+def components_all(spark, d):
+    return graph.components(_all_claims(spark, d))
+
+
+@query()
+def truth_labels_all(spark, d):
+    c = _all_claims(spark, d)
+    return graph.truth(c, c.selectExpr("a AS node").union(c.select("b")).distinct().where("node % 11 = 0"))
+
+
+@query()
+def contradictions_all(spark, d):
+    diff = read(spark, d, "events").selectExpr("user_id AS a", "(user_id * 3 + 1) % 150 AS b").distinct()
+    return graph.contradictions(graph.components(_all_claims(spark, d)), diff)
+
+
 @query("SELECT o_custkey % 20 AS event_id, count(*) AS piles, count_if(o_orderstatus = 'F') AS answered, sum(o_orderkey % 4)::BIGINT AS fixed, round(100.0 * count_if(o_orderstatus = 'F') / count(*), 1) AS pct FROM orders GROUP BY 1")
 def review_progress(spark, d):
     return review.review_progress(read(spark, d, "orders").selectExpr("o_custkey % 20 AS event_id", "o_orderstatus = 'F' AS approved", "o_orderkey % 4 AS fixed"))

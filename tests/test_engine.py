@@ -183,3 +183,35 @@ def test_late_and_repeated_rows(spark, tmp_path):
         time.sleep(1.1)  # files are taken by their time
     stream = streams.follow(spark, folder, "k string, ts timestamp", files_per_batch=1)
     assert sorted(r.k for r in streams.drain(streams.once(stream, ["k"], "ts"), "append").collect()) == ["a", "b", "d"]  # c comes too late
+
+
+def test_claims_of_all_events_against_brute_force(spark):
+    from collections import defaultdict
+
+    from kinloom import catalog
+
+    data = "/root/testdata/sf0.001"
+    users = [r.user_id for r in spark.read.parquet(f"{data}/events.parquet").select("user_id").distinct().collect()]
+    near = defaultdict(set)
+    for a in users:
+        b = (a * 7 + 3) % 150
+        if a != b:
+            near[a].add(b)
+            near[b].add(a)
+    comp = {}
+    for start in sorted(near):
+        queue = [start]
+        while queue:
+            x = queue.pop()
+            if x not in comp:
+                comp[x] = start
+                queue += near[x]
+    assert {r.node: r.component for r in catalog.QUERIES["components_all"](spark, data).collect()} == comp
+    groups = defaultdict(list)
+    for x, c in comp.items():
+        if x % 11:
+            groups[c].append(x)
+    ranked = sorted((g for g in groups.values() if len(g) > 1), key=lambda g: (-len(g), min(g)))
+    assert {r.node: r.label for r in catalog.QUERIES["truth_labels_all"](spark, data).collect()} == {x: f"T{k}" for k, g in enumerate(ranked, 1) for x in g}
+    pairs = {(min(a, b), max(a, b)) for a in users for b in [(a * 3 + 1) % 150] if a in comp and comp[a] == comp.get(b)}
+    assert {(r.a, r.b) for r in catalog.QUERIES["contradictions_all"](spark, data).collect()} == pairs
