@@ -258,6 +258,11 @@ def names_and_slugs(spark, d):
     return x.select("doc_id", text.clean_name(F.substring("text", 1, 80), 40).alias("name"), text.slug(F.concat_ws(" / ", "source", "lang")).alias("slug"))
 
 
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'), ' ')[:40] AS name FROM documents")
+def names_all(spark, d):
+    return read(spark, d, "documents").select("doc_id", text.clean_name(F.col("text"), 40).alias("name"))
+
+
 @query("SELECT event_id, (props->>'k')::BIGINT AS k FROM events")
 def json_fields(spark, d):
     return read(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))

@@ -215,3 +215,10 @@ def test_claims_of_all_events_against_brute_force(spark):
     assert {r.node: r.label for r in catalog.QUERIES["truth_labels_all"](spark, data).collect()} == {x: f"T{k}" for k, g in enumerate(ranked, 1) for x in g}
     pairs = {(min(a, b), max(a, b)) for a in users for b in [(a * 3 + 1) % 150] if a in comp and comp[a] == comp.get(b)}
     assert {(r.a, r.b) for r in catalog.QUERIES["contradictions_all"](spark, data).collect()} == pairs
+
+
+def test_names_of_whole_texts(spark, tmp_path):
+    from kinloom import catalog
+
+    spark.createDataFrame([(1, "\n" * 80 + "a  name"), (2, None), (3, "x" * 50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.name for r in catalog.QUERIES["names_all"](spark, str(tmp_path)).collect()} == {1: "a name", 2: None, 3: "x" * 40}
