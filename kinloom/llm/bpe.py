@@ -29,7 +29,7 @@ import regex
 import tokenizers.normalizers as normalizers
 from pyspark.sql import DataFrame
 
-from .common import position, pick, read, small_batches
+from .common import bounded, pick, position, read
 
 #: Chunks (and words) a worker remembers before it starts anew.
 MEMORY = 250_000
@@ -231,7 +231,6 @@ def load(path: str) -> WordBpe:
 
 
 def _mapped(docs: DataFrame, text_col: str, path: str, names: list[str], kinds: list[pa.DataType], sql: str, make, keep_text: bool) -> DataFrame:
-    small_batches(docs.sparkSession)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at = position(docs, text_col)
     kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
@@ -240,7 +239,7 @@ def _mapped(docs: DataFrame, text_col: str, path: str, names: list[str], kinds:
         coder = load(path)
         gc.freeze()  # the memory of chunks has no cycles; walking it again and again takes a third of the time
         gc.set_threshold(200_000, 50, 1000)
-        for b in batches:
+        for b in bounded(batches):
             cols = list(zip(*[make(coder, t) for t in b.column(at).to_pylist()])) or [[] for _ in names]
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[*[f"c{i}" for i in kept], *names])
 

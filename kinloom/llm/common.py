@@ -21,10 +21,15 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Hand Python workers little at a time."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+def bounded(batches):
+    """The Arrow batches in slices of bounded rows and bytes (one row at least), without empty ones.
+
+    Spark hands on up to 10,000 rows or 64 MB at once; what an operator makes of them as Python
+    objects is bounded here, so that no setting of the caller's session has to change."""
+    for b in batches:
+        rows = max(1, min(BATCH_ROWS, b.num_rows * BATCH_BYTES // max(1, b.nbytes)))
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
 
 
 def position(df: DataFrame, name: str) -> int:

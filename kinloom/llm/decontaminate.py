@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, position, read, small_batches, utf8
+from .common import bounded, pick, position, read, utf8
 
 SIZE = 10
 BLOCK_WORDS = 2_000_000
@@ -124,7 +124,6 @@ def _hits(texts: list[str | None], grams: Grams):
 def hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", bench_text_col: str = "text", size: int = SIZE, block_words: int = BLOCK_WORDS, keep_text: bool = True) -> DataFrame:
     """docs' columns by position (c0, c1, ...) with `n_words`, `spans` (array of word start, count) and `items`."""
     spark = docs.sparkSession
-    small_batches(spark)
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     text = f"c{position(docs, text_col)}"
     added = ["n_words", "spans", "items"]
@@ -136,7 +135,7 @@ def hits(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: st
 
         def run(batches):
             grams = Grams(sent.value, size)
-            for b in batches:
+            for b in bounded(batches):
                 got = _hits(b.column(at).to_pylist(), grams)
                 cols = [[n for n, _, _ in got], [[{"start": a, "count": c} for a, c in s] for _, s, _ in got], [i for *_, i in got]]
                 yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], *[pa.array(c, t) for c, t in zip(cols, kinds)]], names=[*keep, *added])

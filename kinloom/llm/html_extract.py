@@ -1,26 +1,40 @@
 """Main text of HTML pages by site style trees (operator 1).
 
-The DOM trees of a host's pages are merged into one style tree: its nodes are paths of element
-names with class and id. For each node the pages' child sequences (presentation) and text
+The DOM trees of a host's pages are merged into one style tree: its nodes are paths of block
+elements with class and id. For each node the pages' child sequences (presentation) and text
 blocks (content) are counted. The more evenly a text block is spread over the pages, the higher
-its entropy and the less it says about any one of them; a node whose pages all look alike and
-say the same has low importance. Importance is a mix of presentation entropy and of one minus
-the mean entropy of content, and branches of low importance are removed from each page.
-
-Landmarks are given importance beforehand: article and main have 1; menus, headers, footers,
-asides, forms, adverts, notices, comments and the like (by element, role, class or id) have 0.
-If a page has a landmark of the first kind its text is what stands in these; else it is what
-is left of the body. Statistics then remove branches of either. The importance given beforehand
-holds for the landmark, not for what stands in it: it is never removed itself, and where
-statistics would leave none of a page's landmark text (pages that are copies of each other),
-all of it stays.
+its entropy and the less it says about any one of them. A node's statistical importance is a mix
+of one minus the mean entropy of its blocks and of the entropy of its child sequences: 1 where
+every page says something of its own, 0 where all say the same in the same shape.
+
+What the markup itself says is a prior, mixed in on every page for every text block:
+
+    importance = (1 - STATISTICS) * prior + STATISTICS * statistical importance
+
+and a block stays if its importance is at least LEAST_IMPORTANCE. A branch is removed when all
+of its blocks are, so the importance of a branch is the largest of its content nodes'. Priors:
+
+* 1 for article, main and role=main, which are the page's landmarks, and text directly in them;
+* INSIDE for what else stands in a landmark: all but worthless statistics keep it;
+* NEUTRAL for a page without a landmark: statistics decide;
+* OUTSIDE for what stands beside a landmark, in a form, or under a class or id that names chrome;
+* 0 for elements that are never content (nav, footer, aside, ...), adverts and comments.
+
+Names match whole class names or ids, or compounds of nothing but such names. A landmark inside
+a named wrapper or a form counts where the page has no other, so it is never lost with its
+wrapper; beside a free landmark it is a teaser, and under the name of comments or adverts it is
+none. Fewer than MIN_PAGES
+pages are no evidence: the prior stands alone. Where statistics would leave nothing of the
+landmark, or of a page without one (pages that are copies of each other), they do not count.
 
 All statistics are sums by (host, node, feature), so a host with a third of all pages is added
-up before it is shuffled; the removed nodes are joined back only as a counted table.
+up before it is shuffled. The few nodes of low importance are broadcast as arrays if they have
+been counted to be few; else each page's own nodes are joined with them, so that nothing grows
+with a host. Block elements nested deeper than MAX_DEPTH share the node of that depth: only
+the statistics are coarser there, no text is lost.
 
-Defined cases: a null or empty page has empty text; pages without a host share one; a node on
-fewer than MIN_PAGES pages of its host is never removed by statistics; repeated rows each get
-a row (and count as pages).
+Defined cases: a null or empty page has empty text; pages without a host share one; repeated
+rows each get a row (and count as pages).
 """
 
 from __future__ import annotations
@@ -29,18 +43,26 @@ import html as _html
 import math
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, read, small_batches
+from .common import bounded, cut, pick, read
 
 MIN_PAGES = 4
-LEAST_IMPORTANCE = 0.2
-CONTENT_WEIGHT = 0.9
-#: Up to so many (host, node) pairs are broadcast (16 bytes each); more are joined by host.
+LEAST_IMPORTANCE = 0.5
+#: Weight of statistics against the prior, and of content against presentation within them.
+STATISTICS, CONTENT_WEIGHT = 0.4, 0.9
+INSIDE, NEUTRAL, OUTSIDE = 0.8, 0.5, 0.1
+#: No prior above OUTSIDE loses to a higher statistical importance than this.
+CEILING = (LEAST_IMPORTANCE - (1 - STATISTICS) * NEUTRAL) / STATISTICS
+MAX_DEPTH = 64
+#: Up to so many nodes of low importance are broadcast (24 bytes each); more are joined page by page.
 BROADCAST_NODES = 200_000
+#: A worker hands on its sums when it holds so many.
+HELD_SUMS = 200_000
 
 _TAG = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)(?:>|\Z)|</[^>]*(?:>|\Z)""", re.S)
 _ATTR = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -51,15 +73,19 @@ _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol option p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
 _KEEP = frozenset(("article", "main"))
-_DROP = frozenset("nav header footer aside form button select dialog menu search head script style template svg object embed iframe noscript textarea title canvas audio video datalist".split())
-_DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-_DROP_NAMES = frozenset(
+#: Never content. A form may wrap a whole page, so a landmark in it still counts, as under a name.
+_DROP = frozenset("nav header footer aside button select dialog menu search head script style template svg object embed iframe noscript textarea title canvas audio video datalist".split())
+_DROP_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
+_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login comment comments respond replies disqus social share sharing related pagination pager toolbar widget".split()
 )
+#: Of these, names of what others say: a landmark in it is no landmark.
+_FOREIGN = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo comment comments respond replies disqus related".split())
+_WITH_NAMES = frozenset("area bar block box container list item left right top bottom section wrapper".split())
 #: A new element of the key closes an open one of the values, within the nearest of the stops.
 _CLOSES = {"li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr", "td", "th"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "option": (("option",), ("select",))}
 _CUT_P = frozenset(("td", "th", "table", "button", "article", "section", "div", "li", "body", "main", "aside"))
-_SPLIT = re.compile(r"[^a-z0-9]+")
+_PARTS = re.compile(r"[-_]+")
 
 
 def _hash(s: str) -> int:
@@ -67,28 +93,42 @@ def _hash(s: str) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _landmark(tag: str, attrs: dict[str, str], inside: bool) -> int:
-    """1 for content, -1 for what is never content, 0 where statistics decide."""
+def _named(attrs: dict[str, str]) -> set[str]:
+    """Class names and ids that name chrome."""
+    out = set()
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
+        parts = set(_PARTS.split(name)) - {""}
+        if parts & _NAMES and parts <= _NAMES | _WITH_NAMES:
+            out.add(name)
+    return out
+
+
+def _mark(tag: str, attrs: dict[str, str], inside: bool) -> int:
+    """1 for a landmark, 2 for chrome by name, 3 for what is never content, 0 for anything else."""
     if tag in ("html", "body"):
         return 0
-    names = {x for k in ("class", "id") for x in _SPLIT.split(attrs.get(k, "").lower())}
-    if tag in _KEEP:
-        return -1 if names & {"comment", "comments", "ad", "ads", "advert", "sponsored", "related", "promo"} else 1
-    if tag in _DROP and not (tag == "header" and inside) or attrs.get("role", "").lower() in _DROP_ROLES:
-        return -1
-    drop = names & _DROP_NAMES
-    if inside:
-        drop -= {"header", "masthead"}
-    return -1 if drop else 1 if attrs.get("role", "").lower() == "main" else 0
+    role = attrs.get("role", "").lower()
+    named = _named(attrs) if attrs else set()
+    if tag == "header" or named == {"header"} or named == {"masthead"}:
+        return 0 if inside else 3 if tag == "header" else 2  # an article's own header belongs to it
+    if tag in _DROP or role in _DROP_ROLES:
+        return 3
+    if named or tag == "form" or role == "form":
+        return 3 if any(_FOREIGN & set(_PARTS.split(x)) for x in named) else 2
+    return 1 if tag in _KEEP or role == "main" else 0
 
 
 class Page:
-    """A page read into text blocks; each has the chain of nodes it stands in."""
+    """A page read into elements (parent, node, mark) and text blocks (element, text).
+
+    Elements are numbered as they open, so that a parent comes before its children."""
 
     def __init__(self, source: str | None):
-        self.blocks: list[tuple[tuple, str]] = []
+        self.blocks: list[tuple[int, str]] = []
         self.styles: dict[int, list[str]] = {}
-        self._stack: list[tuple] = []  # (tag, path, landmark: 1, -1 or 0, inherited, inside a kept one)
+        self.up, self.node, self.mark, self._depth, self._in = [0], [0], [0], [0], [False]
+        self._stack: list[tuple[str, int]] = []  # open elements: tag, number
+        self._at: dict[str, list[int]] = {}  # tag: its places on the stack
         self._run: list[str] = []
         self._read(source or "")
 
@@ -97,26 +137,29 @@ class Page:
             text = " ".join(_html.unescape("".join(self._run)).split())
             self._run = []
             if text:
-                self.blocks.append((self._block_node, text))
+                self.blocks.append((self._block_element, text))
 
     def _text(self, s: str):
         if s:
             if not self._run:
-                self._block_node = tuple(self._stack)
+                self._block_element = self._stack[-1][1] if self._stack else 0
             self._run.append(s)
 
-    def _pop(self, depth: int):
-        if any(x[0] in _BLOCK for x in self._stack[depth:]):
+    def _top(self, tags) -> int:
+        """The highest place on the stack of an element of these tags, or -1."""
+        return max((self._at[t][-1] for t in tags if self._at.get(t)), default=-1)
+
+    def _pop(self, place: int):
+        if any(t in _BLOCK for t, _ in self._stack[place:]):
             self._end_block()
-        del self._stack[depth:]
+        for t, _ in self._stack[place:]:
+            self._at[t].pop()
+        del self._stack[place:]
 
     def _close(self, tags, stops) -> None:
-        for k in range(len(self._stack) - 1, -1, -1):
-            if self._stack[k][0] in tags:
-                self._pop(k)
-                return
-            if self._stack[k][0] in stops:
-                return
+        place = self._top(tags)
+        if place >= 0 and place > self._top(stops):
+            self._pop(place)
 
     def _open(self, tag: str, raw: str):
         attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)} if "=" in raw else {}
@@ -125,16 +168,21 @@ class Page:
         if tag in _BLOCK:
             self._close(("p",), _CUT_P)
             self._end_block()
-        path, state, inside = (self._stack[-1][1], self._stack[-1][2], self._stack[-1][3]) if self._stack else (0, 0, False)
-        mark = _landmark(tag, attrs, inside)
-        label = f"{tag}.{attrs.get('class', '')}#{attrs.get('id', '')}" if attrs else tag
-        node = _hash(f"{path} {label}") if tag in _BLOCK else path
-        if tag in _BLOCK:
+        up = self._stack[-1][1] if self._stack else 0
+        path, depth = self.node[up], self._depth[up]
+        mark = _mark(tag, attrs, self._in[up])
+        node = path
+        if tag in _BLOCK and depth < MAX_DEPTH:
+            label = f"{tag}.{attrs.get('class', '')}#{attrs.get('id', '')}" if attrs else tag
+            node = _hash(f"{path} {label}")
+            depth += 1
             style = self.styles.setdefault(path, [])
             if not style or style[-1] != label:
                 style.append(label)
-        state = -1 if state < 0 or mark < 0 else 1 if state > 0 or mark > 0 else 0
-        return (tag, node, state, inside or mark > 0)
+        for held, value in ((self.up, up), (self.node, node), (self.mark, mark), (self._depth, depth), (self._in, self._in[up] or mark == 1)):
+            held.append(value)
+        self._at.setdefault(tag, []).append(len(self._stack))
+        self._stack.append((tag, len(self.up) - 1))
 
     def _read(self, s: str):
         at = 0
@@ -160,49 +208,57 @@ class Page:
             elif tag == "hr":
                 self._end_block()
             elif tag not in _VOID:
-                self._stack.append(self._open(tag, m[3]))
+                self._open(tag, m[3])
         self._end_block()
 
     def _shut(self, tag: str):
-        for k in range(len(self._stack) - 1, -1, -1):
-            if self._stack[k][0] == tag:
-                self._pop(k)
-                return
-            if self._stack[k][0] in _KEEP and tag not in ("body", "html") and tag in _BLOCK and tag not in _KEEP:
-                break  # a stray end tag never leaves an article
-        if tag == "p":
+        place = self._top((tag,))
+        # A stray end tag never leaves an article.
+        if place >= 0 and not (tag in _BLOCK and tag not in ("body", "html") and tag not in _KEEP and place < self._top(_KEEP)):
+            self._pop(place)
+        elif tag == "p":
             self._end_block()
 
     def features(self):
         """(node, kind, feature, count): kind 0 a text block, 1 a child sequence, 2 the page itself."""
         out: dict[tuple[int, int, int], int] = {}
-        for chain, text in self.blocks:
-            h = _hash(text)
-            nodes = [x[1] for x in chain]
-            top = nodes[2] if len(nodes) > 2 else nodes[-1] if nodes else 0  # html, body, then the branch
-            for node in {nodes[-1] if nodes else 0, top}:
-                out[node, 0, h] = out.get((node, 0, h), 0) + 1
-        for node, style in self.styles.items():
-            out[node, 1, _hash(" ".join(style))] = 1
+        for element, text in self.blocks:
+            key = (self.node[element], 0, _hash(text))
+            out[key] = out.get(key, 0) + 1
         for node in {k[0] for k in out}:
+            if node in self.styles:
+                out[node, 1, _hash(" ".join(self.styles[node]))] = 1
             out[node, 2, 0] = 1
         return out
 
-    @staticmethod
-    def _low_inside(chain: tuple, low: frozenset) -> bool:
-        """Whether a branch of low importance starts inside the outermost landmark."""
-        at = next(k for k, x in enumerate(chain) if x[2] > 0)
-        given = {chain[at][1]} | {x[1] for x in chain if x[0] in _KEEP}
-        return any(x[1] in low and x[1] not in given for x in chain[at:])
+    def priors(self) -> list[float]:
+        """The prior of every text block."""
+        # Of every element: the level of the landmark it stands in (0 none, 1 free, 2 in a wrapper), and the chrome inside that.
+        land, chrome = [0] * len(self.up), [0] * len(self.up)
+        for e in range(1, len(self.up)):
+            up, mark = self.up[e], self.mark[e]
+            land[e], chrome[e] = land[up], max(chrome[up], mark - 1 if mark > 1 else 0)
+            if mark == 1 and not land[e] and chrome[e] < 2:
+                land[e], chrome[e] = 1 + chrome[e], 0
+        level = min((land[e] for e, _ in self.blocks if land[e] and not chrome[e]), default=0)
+        out = []
+        for e, _ in self.blocks:
+            if chrome[e] or land[e] != level:
+                out.append(0.0 if chrome[e] == 2 else OUTSIDE)
+            else:
+                out.append(1.0 if self.mark[e] == 1 else INSIDE if level else NEUTRAL)
+        return out
 
-    def main_text(self, low: frozenset = frozenset()) -> str:
-        """The text blocks that are left when branches of low importance are gone."""
-        kept = [(c, t) for c, t in self.blocks if not c or c[-1][2] >= 0]
-        marked = [t for c, t in kept if c and c[-1][2] > 0]
-        if marked:
-            left = [t for c, t in kept if c and c[-1][2] > 0 and not self._low_inside(c, low)]
-            return "\n".join(left or marked)
-        return "\n".join(t for c, t in kept if not any(x[1] in low for x in c))
+    def main_text(self, importance: dict[int, float] | None = None) -> str:
+        """The text blocks whose importance is high enough; importance: statistics of nodes that have some."""
+        known, priors = importance or {}, self.priors()
+        kept = []
+        for (element, text), prior in zip(self.blocks, priors):
+            said = known.get(self.node[element])
+            mixed = prior if said is None else (1 - STATISTICS) * prior + STATISTICS * said
+            if mixed >= LEAST_IMPORTANCE:
+                kept.append(text)
+        return "\n".join(kept or [t for (_, t), prior in zip(self.blocks, priors) if prior >= LEAST_IMPORTANCE])
 
 
 def _host(url):
@@ -210,52 +266,99 @@ def _host(url):
 
 
 def importance(pages: DataFrame, host_col: str, html_col: str) -> DataFrame:
-    """(host, node, pages, importance) of the merged style tree."""
+    """(host, node, pages, importance) of the nodes that hold text in the merged style trees."""
     base = pages.select(F.col(host_col).alias("host"), F.col(html_col).alias("html"))
 
     def count(batches):
-        for b in batches:
-            sums: dict[tuple, list] = {}
+        sums: dict[tuple, list] = {}
+
+        def told():
+            cols = list(zip(*[(*k, *v) for k, v in sums.items()])) or [[] for _ in range(6)]
+            kinds = [pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "node", "kind", "feature", "c", "s"])
+
+        for b in bounded(batches):
             for host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for key, c in Page(source).features().items():
                     got = sums.setdefault((host, *key), [0, 0.0])
                     got[0] += c
                     got[1] += c * math.log(c) if c > 1 else 0.0
-            cols = list(zip(*[(*k, *v) for k, v in sums.items()])) or [[] for _ in range(6)]
-            kinds = [pa.int64(), pa.int64(), pa.int8(), pa.int64(), pa.int64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["host", "node", "kind", "feature", "c", "s"])
+                if len(sums) >= HELD_SUMS:
+                    yield told()
+                    sums = {}
+        yield told()
 
     parts = base.mapInArrow(count, "host long, node long, kind tinyint, feature long, c long, s double")
     each = parts.groupBy("host", "node", "kind", "feature").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
     # Entropy of a block over pages, in nats: ln C - (sum of c ln c) / C. Of child sequences: ln m - (sum of C ln C) / m.
     node = each.groupBy("host", "node").agg(
         F.max(F.when(F.col("kind") == 2, F.col("c"))).alias("pages"),
-        F.avg(F.when(F.col("kind") == 0, F.ln("c") - F.col("s") / F.col("c"))).alias("content"),
+        F.sum(F.when(F.col("kind") == 0, F.col("c") * F.ln("c") - F.col("s"))).alias("spread"),
+        F.sum(F.when(F.col("kind") == 0, F.col("c"))).alias("blocks"),
         F.sum(F.when(F.col("kind") == 1, F.col("c") * F.ln("c"))).alias("styles"),
         F.sum(F.when(F.col("kind") == 1, F.col("c"))).alias("styled"),
     )
-    base_log = F.ln("pages")
-    content = F.when(F.col("pages") > 1, 1 - F.least(F.lit(1.0), F.coalesce("content", F.lit(0.0)) / base_log)).otherwise(1.0)
-    look = F.when((F.col("pages") > 1) & (F.col("styled") > 1), (F.ln("styled") - F.col("styles") / F.col("styled")) / F.ln("styled")).otherwise(0.0)
-    mixed = F.when(F.col("content").isNull(), F.lit(1.0)).otherwise(CONTENT_WEIGHT * content + (1 - CONTENT_WEIGHT) * look)
-    return node.select("host", "node", "pages", mixed.alias("importance"))
-
-
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: float = LEAST_IMPORTANCE) -> DataFrame:
+    content = F.when(F.col("pages") > 1, 1 - F.least(F.lit(1.0), F.col("spread") / F.col("blocks") / F.ln("pages"))).otherwise(1.0)
+    look = F.when(F.col("styled") > 1, (F.ln("styled") - F.col("styles") / F.col("styled")) / F.ln("styled")).otherwise(0.0)
+    # A node without child elements has one look only: there content alone speaks.
+    mixed = F.when(F.col("styled").isNull(), content).otherwise(CONTENT_WEIGHT * content + (1 - CONTENT_WEIGHT) * look)
+    return node.select("host", "node", "pages", F.round(mixed, 9).alias("importance"))
+
+
+def _joined(base: DataFrame, low: DataFrame) -> DataFrame:
+    """base with `low`, the statistics of those of a page's own nodes that are low; equal pages share them."""
+
+    def nodes(batches):
+        for b in bounded(batches):
+            host, page, node = [], [], []
+            for h, digest, source in zip(*(c.to_pylist() for c in b.columns)):
+                p = Page(source)
+                for x in {p.node[e] for e, _ in p.blocks}:
+                    host.append(h)
+                    page.append(digest)
+                    node.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(host, pa.int64()), pa.array(page, pa.string()), pa.array(node, pa.int64())], names=["host", "page", "node"])
+
+    base = base.withColumn("page", F.sha2("html", 256))
+    own = base.select("host", "page", "html").mapInArrow(nodes, "host long, page string, node long").distinct()
+    found = own.join(low.hint("merge"), ["host", "node"]).groupBy("host", "page").agg(F.collect_list(F.struct("node", "importance")).alias("low"))
+    return base.join(found.hint("merge"), ["host", "page"], "left").select("id", "url", "html", "low")
+
+
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
     """(id, url, text) for every row of pages."""
     spark = pages.sparkSession
-    small_batches(spark)
     base = pick(pages, id=id_col, url=url_col, html=html_col).withColumn("host", _host(F.col("url")))
-    low = cut(importance(base, "host", "html").where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < least)).groupBy("host").agg(F.collect_set("node").alias("low")))
-    nodes = low.agg(F.sum(F.size("low"))).first()[0] or 0
-    joined = base.join(F.broadcast(low) if nodes <= BROADCAST_NODES else low.hint("merge"), "host", "left").select("id", "url", "html", "low")
+    low = cut(importance(base, "host", "html").where((F.col("pages") >= MIN_PAGES) & (F.col("importance") < CEILING)).select("host", "node", "importance"))
+    names, kinds = ["id", "url", "text"], f"id {base.schema['id'].dataType.simpleString()}, url string, text string"
 
-    def run(batches):
-        for b in batches:
-            texts = [Page(s).main_text(frozenset(low or ())) for s, low in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
+    if low.limit(broadcast_nodes + 1).count() > broadcast_nodes:
+
+        def by_page(batches):
+            for b in bounded(batches):
+                texts = [Page(s).main_text({x["node"]: x["importance"] for x in found or ()}) for s, found in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=names)
 
-    return joined.mapInArrow(run, f"id {base.schema['id'].dataType.simpleString()}, url string, text string")
+        return _joined(base, low).mapInArrow(by_page, kinds)
+
+    table = low.toArrow()  # counted: broadcast_nodes rows at most
+    host, node, value = (table.column(c).to_numpy() for c in ("host", "node", "importance"))
+    order = np.argsort(host, kind="stable")
+    sent = spark.sparkContext.broadcast((host[order], node[order], value[order]))
+
+    def run(batches):
+        hosts, nodes, values = sent.value
+        held: tuple = (None, {})
+        for b in bounded(batches):
+            texts = []
+            for h, s in sorted(zip(b.column(3).to_pylist(), range(b.num_rows))):
+                if h != held[0]:
+                    lo, hi = np.searchsorted(hosts, h, "left"), np.searchsorted(hosts, h, "right")
+                    held = (h, dict(zip(nodes[lo:hi].tolist(), values[lo:hi].tolist())))
+                texts.append((s, Page(b.column(2)[s].as_py()).main_text(held[1])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t for _, t in sorted(texts)], pa.string())], names=names)
+
+    return base.mapInArrow(run, kinds)
 
 
 def op1_html(spark, sf_dir: str) -> DataFrame:

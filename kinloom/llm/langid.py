@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, read, small_batches
+from .common import bounded, pick, read
 
 #: Word types a worker remembers, characters handled at once, weight of the prior in pieces' counts.
 TYPES = 500_000
@@ -164,7 +164,7 @@ def learn(rows: DataFrame, path: str) -> tuple[list[str], np.ndarray, np.ndarray
                 at = np.flatnonzero(totals[:, k])
                 yield pa.RecordBatch.from_arrays([pa.array([x] * (len(at) + 1)), pa.array([*at.tolist(), -1], pa.int32()), pa.array([*totals[at, k].tolist(), float(documents[x])])], names=["lang", "piece", "n"])
 
-        for b in batches:
+        for b in bounded(batches):
             for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 at = seen.setdefault(lang, {})
                 documents[lang] = documents.get(lang, 0) + 1
@@ -237,7 +237,6 @@ def kept_scorer(name: str, log_p: np.ndarray, pieces: Pieces) -> Scorer:
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_text_col: str = "text", train_lang_col: str = "lang", path: str | None = None, more: dict[str, str] | None = None) -> DataFrame:
     """(id, further columns of `more`, lang_pred, score) for every row of docs, by models learnt from all of train with a language."""
     spark = docs.sparkSession
-    small_batches(spark)
     path = path or default_vocabulary()
     rows = pick(train, text=train_text_col, lang=train_lang_col).where("lang is not null")
     langs, log_p, prior = learn(rows, path)
@@ -249,7 +248,7 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
 
     def run(batches):
         scorer = kept_scorer(call, sent.value, load(path))
-        for b in batches:
+        for b in bounded(batches):
             split = [words(t) for t in b.column(1).to_pylist()]
             best, score = ["und"] * len(split), [0.0] * len(split)
             if langs:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import cut, join_counted, pick, position, small_batches, utf8
+from .common import bounded, cut, join_counted, pick, position, utf8
 
 SHINGLE = 5
 CROWD = 8
@@ -62,7 +62,7 @@ def common_shingles(base: DataFrame) -> np.ndarray:
     every = max(1, base.count() // SAMPLE)
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches):
             h = [hashes(t) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*h, np.empty(0, np.uint64)]).view(np.int64))], names=["h"])
 
@@ -103,13 +103,12 @@ def _runs(h):
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(node, component): the least id reachable, for every id that has a near copy."""
     spark = docs.sparkSession
-    small_batches(spark)
     base = pick(docs, doc_id=id_col, text=text_col).where("doc_id is not null and text is not null")
     kind = base.schema["doc_id"].dataType.simpleString()
     common = spark.sparkContext.broadcast(common_shingles(base))
 
     def prefixes(batches):
-        for b in batches:
+        for b in bounded(batches):
             ids, hs, ns, at = [], [], [], []
             for k, t in enumerate(b.column(1).to_pylist()):
                 h, n = first(t, common.value)
@@ -157,7 +156,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
 
         def check(batches):
-            for b in batches:
+            for b in bounded(batches):
                 ok = [similar(x, y) for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist())]
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 

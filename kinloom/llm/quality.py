@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, position, read, small_batches, utf8
+from .common import bounded, pick, position, read, utf8
 
 THRESHOLD = 0.5
 MIN_WORDS = 50
@@ -133,11 +133,10 @@ def _as_arrow(cols, kinds):
 def judge(docs: DataFrame, text_col: str = "text", keep_text: bool = True, threshold: float = THRESHOLD) -> DataFrame:
     """docs' columns by position (c0, c1, ...) with the measures, base_failed, votes, quality and kept."""
     spark = docs.sparkSession
-    small_batches(spark)
 
     def patterns(batches):
         seen: dict[str, int] = {}
-        for b in batches:
+        for b in bounded(batches):
             for t in b.column(0).to_pylist():
                 p = votes(measure(t))
                 seen[p] = seen.get(p, 0) + 1
@@ -153,7 +152,7 @@ def judge(docs: DataFrame, text_col: str = "text", keep_text: bool = True, thres
     kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string(), pa.float64(), pa.bool_()]
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches):
             rows = []
             for t in b.column(at).to_pylist():
                 m = measure(t)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import cut, join_counted, pick, position, read, small_batches, utf8
+from .common import bounded, cut, join_counted, pick, position, read, utf8
 
 SEED = 42
 RADIUS = 3
@@ -62,11 +62,10 @@ def signed(x: int) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
-    small_batches(docs.sparkSession)
     base = pick(docs, doc_id=id_col, text=text_col)
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches):
             fps = [signed(fingerprint(t, shingle)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
 
@@ -161,7 +160,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
     """(u, v) edges with u > v that connect exactly the fingerprints that are linked, directly or over others."""
 
     def keyed(batches):
-        for b in batches:
+        for b in bounded(batches):
             fps = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
             for key in bucket_keys(fps, radius):
                 yield pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(key.view(np.int64))], names=["fp", "key"])
@@ -211,7 +210,6 @@ def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> Da
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
-    small_batches(docs.sparkSession)
     fps = cut(fingerprints(docs, id_col, text_col))
     distinct = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("low")))
     linked = components(links(distinct, radius, bucket), "u", "v").select(F.col("node").alias("fp"), F.col("component").alias("root"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, read, small_batches
+from .common import bounded, pick, read
 
 #: (verdict, host, path prefix): the longest that fits decides.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -118,7 +118,7 @@ def learn(labelled: DataFrame) -> dict[str, dict[int, dict[int, int]]]:
 
     def count(batches):
         seen: dict[tuple[str, int], dict[int, int]] = {}
-        for b in batches:
+        for b in bounded(batches):
             for url, ruling in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for k, codes in enumerate(grams(url)):
                     at = seen.setdefault((ruling, k), {})
@@ -149,7 +149,6 @@ def calibrate(histogram: dict[tuple[str, int], int]) -> float:
 def judge(urls: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
     """(id, host, path, rule, ratio, verdict) for every row of urls."""
     spark = urls.sparkSession
-    small_batches(spark)
     base = ruled(urls, id_col, url_col, rules)
     labelled = base.where("ruling is not null").select("url", "ruling")
     counts = learn(labelled)
@@ -158,7 +157,7 @@ def judge(urls: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=
 
     def scored(batches):
         models = [Model(sent.value[x]) for x in ("allow", "block")]
-        for b in batches:
+        for b in bounded(batches):
             r = [ratio(u, *models) if both else 0.0 for u in b.column("url").to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r, pa.float64())], names=[*b.schema.names, "ratio"])
 

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, join_counted, pick, read, small_batches
+from .common import bounded, cut, join_counted, pick, read
 
 REVISIT_FROM = 1000
 ARCHIVE_BYTES = 4 << 20
@@ -165,7 +165,6 @@ def revisits(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", pa
 
 def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """(name, content) of archives of about archive_bytes uncompressed bytes, from the rows of `revisits`."""
-    small_batches(records.sparkSession)
 
     def run(batches):
         held, size = [], 0
@@ -174,7 +173,7 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Da
             name = hashlib.sha1(b"".join(hashlib.sha1(r).digest() for r in held)).hexdigest()
             return pa.RecordBatch.from_arrays([pa.array([f"{name}.warc.zst"]), pa.array([pack(held)], pa.binary())], names=["name", "content"])
 
-        for b in batches:
+        for b in bounded(batches):
             for row in b.to_pylist():
                 kind = "revisit" if row["response_id"] is not None else "response"
                 held.append(write_record(kind, f"urn:page:{'' if row['id'] is None else row['id']}", row["uri"] or "", row["payload"], row["digest"], row["bytes"], f"urn:page:{row['response_id']}"))
@@ -190,13 +189,12 @@ def write_archives(records: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Da
 
 def read_archives(archives: DataFrame, name_col: str = "name", content_col: str = "content", keep_payload: bool = True) -> DataFrame:
     """A row for every record of the archives; a broken archive or record raises, with the archive's name."""
-    small_batches(archives.sparkSession)
     base = pick(archives, name=name_col, content=content_col)
     names = ["number", "record_id", "record_type", "uri", "refers_to", "payload_bytes", "payload_digest", "payload"]
     kinds = [pa.int64(), *[pa.string()] * 4, pa.int64(), pa.string(), pa.binary()]
 
     def run(batches):
-        for b in batches:
+        for b in bounded(batches):
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 rows, size = [], 0
 
@@ -233,7 +231,7 @@ def save_files(archives: DataFrame, folder: str) -> DataFrame:
 
     def run(batches):
         os.makedirs(folder, exist_ok=True)
-        for b in batches:
+        for b in bounded(batches):
             for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 part = f"{folder}/.{name}.{uuid.uuid4().hex}"
                 with open(part, "wb") as f:
