@@ -354,23 +354,51 @@ def test_warc_round_trip_and_checks(spark, tmp_path):
     assert {r.record_id: bytes(r.payload).decode() for r in back.collect()} == html
 
 
-def test_sharding(spark, folder):
-    docs = documents(spark, folder)
-    narrow = [(d[0], d[3], len((d[1] or "").encode()) + 1, zlib.crc32((d[1] or "").encode())) for d in docs]
+def brute_shards(narrow, shards=16):
+    """narrow: (doc_id, source, size, crc); (doc_id, size, crc, shard, slot)."""
     by_source = defaultdict(list)
     for d in narrow:
-        by_source["n" if d[1] is None else "s" + d[1]].append((hashlib.md5(f"{sharding.SEED}:{d[0]}".encode()).hexdigest(), *d))
-    spread = [((2 * r + 1) / (2 * len(x)), s, *d) for s, x in by_source.items() for r, d in enumerate(sorted(x, key=lambda d: (d[0], d[1], d[3], d[4])))]
-    spread.sort(key=lambda x: (x[0], x[1], x[2], x[3], x[5], x[6]))
-    size, more = divmod(len(spread), 16)
-    expected = []
-    for p, (_, _, _, doc, _, n, crc) in enumerate(spread):
+        s = "n" if d[1] is None else "s" + d[1]
+        h = hashlib.md5(":".join([sharding.SEED, "" if d[0] is None else str(d[0]), s, str(d[2]), str(d[3])]).encode()).hexdigest()
+        by_source[s].append((h, *d))
+    null_first = lambda d: (d[0], d[1] is not None, d[1] or 0, d[3], d[4])
+    spread = [((r + int(d[0][16:29], 16) / 2**52) / len(x), s, *null_first(d), d) for s, x in by_source.items() for r, d in enumerate(sorted(x, key=null_first))]
+    spread.sort(key=lambda x: x[:7])
+    size, more = divmod(len(spread), shards)
+    for p, (*_, (_, doc, _, n, crc)) in enumerate(spread):
         shard = p // (size + 1) if p < more * (size + 1) else more + (p - more * (size + 1)) // size
         start = shard * (size + 1) if shard < more else more * (size + 1) + (shard - more) * size
-        expected.append((doc, n, crc, "rows", shard, p - start, None))
+        yield doc, n, crc, shard, p - start
+
+
+def test_sharding(spark, folder):
+    docs = documents(spark, folder)
+    narrow = [(d[0], d[3], len((d[1] or "").encode()) + 1, zlib.crc32((d[1] or "").encode())) for d in docs]
+    expected = [(d, n, crc, "rows", shard, slot, None) for d, n, crc, shard, slot in brute_shards(narrow)]
     same([tuple(r.values()) for r in result(spark, folder, "op10_sharding")], expected)
 
 
+def test_sharding_of_single_rows_and_copies(spark):
+    """20,000 sources of one row, one source of 3,000, 2,000 rows that are alike, rows without an id in sources of their own."""
+    narrow = [(i, f"one{i}", 1, 0) for i in range(20_000)] + [(30_000 + i, "large", 2, 1) for i in range(3000)] + [(7, "same", 3, 2)] * 2000 + [(None, f"null{i}", 1, 0) for i in range(2000)]
+    rows = spark.createDataFrame(narrow, "doc_id long, source string, size long, crc long").repartition(6)
+    got = [tuple(r) for r in sharding.interleave(rows, tie_cols=("size", "crc"), range_rows=1, copies=300).select("c0", "c2", "c3", "shard", "slot").collect()]
+    same(got, brute_shards(narrow))
+    shares = Counter((s, g[3]) for g in got if (s := "large" if g[1] == 2 else "same" if g[1] == 3 else "one"))
+    size = {"large": 3000, "same": 2000, "one": 22_000}
+    assert all(abs(n - size[s] / 16) < 0.15 * size[s] / 16 for (s, _), n in shares.items())
+    # Rows lie evenly in the ranges: none of 256 holds more than three times its share.
+    stratum = lambda d: d[1]
+    fractions = Counter()
+    for s, n in Counter(map(stratum, narrow)).items():
+        for r, d in enumerate(d for d in narrow if n > 1 and d[1] == s):
+            fractions[int(r / n * 256)] += 1
+    single = spark.createDataFrame([d for d in narrow if d[1].startswith(("one", "null"))], "doc_id long, source string, size long, crc long")
+    h = [hashlib.md5(":".join([sharding.SEED, "" if d.doc_id is None else str(d.doc_id), "s" + d.source, str(d.size), str(d.crc)]).encode()).hexdigest() for d in single.collect()]
+    fractions.update(int(x[16:29], 16) * 256 >> 52 for x in h)
+    assert max(fractions.values()) < 3 * len(narrow) / 256
+
+
 PAGES = [
     ("<html><body><nav>menu</nav><article><h1>A &amp; B</h1><p>one\n two<br>three<p>four</article><footer>f</footer>", "A & B\none two three\nfour"),
     ("<article><p>x<aside>no</aside><div class='comments'><p>no</div><p>y</article>", "x\ny"),
