@@ -347,11 +347,46 @@ def test_warc_round_trip_and_checks(spark, tmp_path):
     for bad in (records[0][:-1], records[0].replace(b"WARC/1.1", b"WARC/9"), records[0].replace(b"payload 0", b"payload X"), records[0].replace(b"WARC-Date", b"WARC-Dote")):
         with pytest.raises(warc.BadRecord):
             warc.parse_record(bad)
-    archives = warc.write_archives(warc.revisits(spark.read.parquet(f"{DATA}/pages.parquet")), archive_bytes=100_000)
-    assert warc.save_files(archives, str(tmp_path / "w")).count() > 1
-    back = warc.read_archives(warc.open_files(spark, str(tmp_path / "w")))
-    html = {f"urn:page:{r.page_id}": r.html for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    html = {f"urn:page:{r.page_id}": r.html for r in pages.collect()}
+    files = warc.write_files(warc.revisits(pages), f"file:{tmp_path}/w", archive_bytes=100_000)
+    assert files.count() > 1 and sum(r.records for r in files.collect()) == len(html)
+    (tmp_path / "w" / "left-behind.warc.zst").write_bytes(content)  # of a lost task: not listed, not read
+    back = warc.read_files(files, f"file:{tmp_path}/w")
     assert {r.record_id: bytes(r.payload).decode() for r in back.collect()} == html
+    (tmp_path / "w" / "left-behind.warc.zst").unlink()
+    for archives in (warc.write_archives(warc.revisits(pages), archive_bytes=100_000), warc.open_files(spark, f"{tmp_path}/w")):
+        back = warc.read_archives(archives)
+        assert {r.record_id: bytes(r.payload).decode() for r in back.collect()} == html
+
+
+def test_warc_broken_records_are_rows(spark):
+    record = lambda i: warc.write_record("response", f"urn:page:{i}", "u", f"<p>{i}".encode(), warc.sha1_hex(f"<p>{i}".encode()), len(f"<p>{i}"))
+    records = [record(i) for i in range(40)]
+    frames = [warc.pack([r])[8:] for r in records]
+    head = warc.pack([])
+    bad = bytearray(frames[5])
+    bad[-1] ^= 255  # the checksum
+    odd = warc.pack([records[6].replace(b"WARC-Date", b"WARC-Dote")])[8:]
+    content = head + b"".join(frames[:5]) + bytes(bad) + odd + b"junk between" + frames[7][:-9] + frames[8] + b"\x50\x2a\x4d\x18\x03\x00\x00\x00abc" + b"".join(frames[9:]) + frames[0][:7]
+    rows = spark.createDataFrame([("a", content), ("empty", b""), ("none", None), ("dict", warc.pack(records * 9)[:11]), ("big", head + frames[1])], "name string, content binary")
+    got = warc.read_archives(rows).collect()
+    a = [r for r in got if r.name == "a"]
+    assert [r.record_id for r in a if not r.error] == [f"urn:page:{i}" for i in range(40) if i not in (5, 6, 7)] or [r.record_id for r in a if not r.error] == [f"urn:page:{i}" for i in range(40) if i not in (5, 6, 7, 8)]
+    wrong = [r for r in a if r.error]
+    assert len(wrong) >= 5 and all(r.record_id is None and 0 <= r.offset < len(content) for r in wrong)
+    assert "missing headers: WARC-Date" in [r.error for r in wrong]
+    assert {r.name for r in got} == {"a", "dict", "big"} or {r.name for r in got} == {"a", "big"}
+    assert [r.error for r in warc.read_archives(rows.where("name = 'big'"), most=20).collect()][0].startswith("a record of")
+
+
+def test_warc_reads_in_proportion():
+    import time
+
+    payload = b"x" * 900
+    content = warc.pack([warc.write_record("response", "urn:page:1", "u", payload, warc.sha1_hex(payload), 900)] * 100_000)
+    start = time.time()
+    assert sum(1 for _ in warc.unpack(content)) == 100_000 and time.time() - start < 20
 
 
 def brute_shards(narrow, shards=16):
