@@ -93,6 +93,29 @@ def test_secret_ownership_and_vendor_spans(spark):
     assert red[1] == "x [secret]" and red[2] == docs.where("doc_id = 2").first().text and red[6] == "[secret]"
 
 
+def test_secret_repositories_decide_too(spark):
+    """A token in many repositories of one owner is a template; one in some of them is live. Each span tells both counts."""
+    live, copied = "ghp_" + "aZ3bY4cX5dW6eV7fU8gT9hS0iR1jQ2kP3lO4", "ghp_" + "Q1w2E3r4T5y6U7i8O9p0A1s2D3f4G5h6J7k8"
+    docs = spark.createDataFrame([(i, live if i < 5 else copied, "one") for i in range(110)] + [(7, copied, "one")], "doc_id long, text string, source string")
+    got = secret_scan.scan(docs).collect()
+    assert {(s.live, s.copied, s.owners, s.repositories) for r in got if r.id < 5 for s in r.spans} == {(True, False, 1, 5)}
+    assert not any(r.spans for r in got if r.id >= 5) and len(got) == 111
+    few = secret_scan.scan(docs, copied_repositories=200).where("id = 7").collect()
+    assert [(s.copied, s.owners, s.repositories) for r in few for s in r.spans] == [(False, 1, 105)] * 2
+
+
+def test_secrets_of_a_text_of_many(spark):
+    """60,000 matches in one text."""
+    import time
+
+    text = " ".join(f"{i:032x}" for i in range(60_000))
+    start = time.time()
+    docs = spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")
+    (got,) = secret_scan.scan(docs).collect()
+    assert secret_scan.redact(docs, length_col=None).first().text == " ".join(["[secret]"] * 60_000)
+    assert [(s.start, s.end) for s in got.spans] == [(33 * i, 33 * i + 32) for i in range(60_000)] and time.time() - start < 60
+
+
 def test_redaction_joins_overlaps(spark):
     docs = spark.createDataFrame([(1, f"é token={SECRET} b", "s", 9), (1, f"é token={SECRET} b", "s", 9), (None, None, None, None), (2, "", "s", 0)], "doc_id long, text string, source string, n_chars long")
     got = [tuple(r) for r in secret_scan.redact(docs).collect()]
