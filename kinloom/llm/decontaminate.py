@@ -7,7 +7,8 @@ marked. The broadcast is bounded: a benchmark of more than `block_words` words i
 blocks of items and the documents are scanned for each block.
 
 Defined cases: null and wordless texts have no words and are never hit; repeated documents
-each get a row; items that repeat an id count once; items without an id are ignored.
+each get a row; items that repeat an id count once; the windows of items without an id hit
+like others, but such items are neither listed nor counted.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ def words(text: str | None) -> list[bytes]:
 class Grams:
     """Windows of benchmark items, looked up by hash and verified."""
 
-    def __init__(self, items: list[tuple[str, str | None]], size: int = SIZE):
+    def __init__(self, items: list[tuple[str | None, str | None]], size: int = SIZE):
         self.number: dict[bytes, int] = {}
         self.size = size
         by_length: dict[int, dict[tuple, set]] = {}
@@ -54,7 +55,7 @@ class Grams:
             order = np.argsort(h, kind="stable")
             found: dict[int, list] = {}
             for gram, x in zip(grams, h.tolist()):
-                found.setdefault(x, []).append((gram, tuple(sorted(grams[gram]))))
+                found.setdefault(x, []).append((gram, tuple(sorted(grams[gram] - {None}))))
             self.lengths[n] = (h[order], found)
 
     @staticmethod
@@ -86,10 +87,10 @@ class Grams:
 
 def blocks(bench: DataFrame, item_col: str, text_col: str, limit: int) -> list[DataFrame]:
     """The benchmark in parts of bounded size, dealt by item."""
-    base = pick(bench, item=item_col, text=text_col).where("item is not null").select(F.col("item").cast("string").alias("item"), "text")
+    base = pick(bench, item=item_col, text=text_col).select(F.col("item").cast("string").alias("item"), "text")
     total = base.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = -(-total // (2 * limit)) or 1
-    return [base.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == i) for i in range(parts)]
+    return [base.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == i) for i in range(parts)]
 
 
 def _hits(texts: list[str | None], grams: Grams):
@@ -216,14 +217,14 @@ def op3_decontamination(spark, sf_dir: str) -> DataFrame:
 
 OP3_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 bk AS (SELECT item, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k FROM b WHERE len(w) > 0),
 bw AS (SELECT DISTINCT item, n, array_to_string(w[k:k + n - 1], ' ') AS gram FROM bk),
 dk AS (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n),
 dw AS (SELECT r, n, k, array_to_string(w[k:k + n - 1], ' ') AS gram FROM dk),
 hit AS (SELECT r, k, n, item FROM dw JOIN bw USING (n, gram)),
 words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT r, unnest(range(k, k + n)) AS p FROM hit) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT r, item FROM hit WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """

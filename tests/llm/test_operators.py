@@ -34,7 +34,7 @@ def folder(spark, tmp_path_factory):
     odd = spark.createDataFrame([(10_000 + i, t, None if i % 3 else "en", None if i % 4 else "src1", None) for i, t in enumerate(ODD_TEXTS)], docs.schema)
     same = docs.limit(3)
     docs.unionAll(odd).unionAll(same).unionAll(odd.limit(2)).selectExpr("*", "1 AS component_id", "'x' AS shard", "2 AS `Text2`").repartition(5).write.parquet(f"{out}/documents.parquet")
-    spark.read.parquet(f"{DATA}/benchmark.parquet").unionAll(spark.sql("select 9001L, 'ALPHA beta, gamma' union all select 9002L, cast(null as string) union all select 9003L, '' union all select 9004L, 'kappa lambda mu alpha beta gamma delta epsilon zeta eta theta'")).write.parquet(f"{out}/benchmark.parquet")
+    spark.read.parquet(f"{DATA}/benchmark.parquet").unionAll(spark.sql("select 9001L, 'ALPHA beta, gamma' union all select 9002L, cast(null as string) union all select 9003L, '' union all select 9004L, 'kappa lambda mu alpha beta gamma delta epsilon zeta eta theta' union all select null, 'ab cd ef ab cd ef ab cd ef ab cd'")).write.parquet(f"{out}/benchmark.parquet")
     pages = spark.read.parquet(f"{DATA}/pages.parquet")
     extra = spark.createDataFrame([(9000, None, None), (9001, "no scheme", ""), (9002, "HTTP://A.Net/x?y", "z" * 1500), (9003, "http://net", "z" * 1500), (9004, "http://example.net/en/a", "z" * 1500), (9005, "http://b.org/fr/", "q" * 999), (9006, "x://example.com/de/1#q/", "q" * 999), (9006, "x://example.com/de/1#q/", "q" * 999), (9007, "http://x.example.com?u=/de/", "<p>a"), (9008, "http://exämple.org/fr/ü", "<p>b")], pages.schema)
     pages.unionAll(extra).write.parquet(f"{out}/pages.parquet")
@@ -128,7 +128,7 @@ def brute_decontamination(docs, items):
     for item, t in items:
         w = split(t)
         for k in range(max(0, len(w) - 9) or bool(w)):
-            windows[tuple(w[k : k + 10])].add(str(item))
+            windows[tuple(w[k : k + 10])].add(None if item is None else str(item))
     lengths = {len(w) for w in windows}
     for d in docs:
         w = split(d[1])
@@ -137,7 +137,7 @@ def brute_decontamination(docs, items):
             for k in range(len(w) - n + 1):
                 if (g := tuple(w[k : k + n])) in windows:
                     hit |= set(range(k, k + n))
-                    found |= windows[g]
+                    found |= windows[g] - {None}
         yield d[0], len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)
 
 
