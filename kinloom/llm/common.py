@@ -6,6 +6,8 @@ case, or equal an operator's own working names, do no harm.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,5 +58,12 @@ def join_counted(left: DataFrame, right: DataFrame, on: list[str] | str, how: st
     return left.join(F.broadcast(right) if few else right.hint("merge"), on, how)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: what reads it next reads only the columns it needs."""
+    folder = f"{shared_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")

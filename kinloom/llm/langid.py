@@ -9,7 +9,9 @@ The models are learnt in one expectation step over all training rows: under a ra
 over pieces, a forward-backward pass gives each word's expected piece counts, which are summed
 by language (a table of pieces times languages, whatever the corpus). Counts are smoothed
 towards the prior. Learning and scoring work on word types, many at once, in logarithms, so
-words may be of any length; workers remember a bounded number of types.
+words may be of any length; workers remember a bounded number of types. The score is the best
+language's share of the texts' probabilities per word (their geometric mean), so that it does
+not come to 1 only because a text is long.
 
 Defined cases: texts that are null or have no letter are `und` with score 0; without any
 training row all are. Rows without a language or an id don't train. Ties go to the language
@@ -254,7 +256,8 @@ def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col
             if langs:
                 total = scorer.texts(split) + prior
                 top = total.argmax(axis=1)
-                share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+                per_word = (total - total.max(axis=1, keepdims=True)) / np.maximum(1, [len(ws) for ws in split])[:, None]
+                share = 1 / np.exp(per_word).sum(axis=1)
                 for k, ws in enumerate(split):
                     if ws:
                         best[k], score[k] = langs[int(top[k])], float(share[k])

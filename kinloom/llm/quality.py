@@ -6,7 +6,9 @@ vote is right and how often it speaks for good and for bad documents; the poster
 probability that a document is good decides, instead of every rule having to pass.
 
 There are at most 3**len(RULES) patterns, so their counts are a bounded table whatever the
-corpus; every document is counted. Documents the base rules fail are rejected in any case.
+corpus; every document is counted. Texts are measured once: the measures are written to the
+shared folder beside what the caller keeps, counted from there, and joined with the patterns'
+posterior probabilities. Documents the base rules fail are rejected in any case.
 
 Defined cases: a null, empty or wordless text has no words and is rejected; repeated rows each
 get a row; on an empty table nothing is estimated.
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, pick, position, read, utf8
+from .common import bounded, pick, position, read, stored, utf8
 
 THRESHOLD = 0.5
 MIN_WORDS = 50
@@ -126,44 +128,30 @@ def estimate(counts: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
     return dict(zip(patterns, good.tolist()))
 
 
-def _as_arrow(cols, kinds):
-    return [pa.array(c, k) for c, k in zip(cols, kinds)]
-
-
 def judge(docs: DataFrame, text_col: str = "text", keep_text: bool = True, threshold: float = THRESHOLD) -> DataFrame:
     """docs' columns by position (c0, c1, ...) with the measures, base_failed, votes, quality and kept."""
-    spark = docs.sparkSession
-
-    def patterns(batches):
-        seen: dict[str, int] = {}
-        for b in bounded(batches):
-            for t in b.column(0).to_pylist():
-                p = votes(measure(t))
-                seen[p] = seen.get(p, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["votes", "n"])
-
-    tally = pick(docs, text=text_col).mapInArrow(patterns, "votes string, n long").groupBy("votes").agg(F.sum("n").alias("n"))
-    posterior = estimate({r["votes"]: r["n"] for r in tally.collect()})  # at most 3**len(RULES) rows
-
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at = position(docs, text_col)
     kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "votes", "quality", "kept"]
-    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string(), pa.float64(), pa.bool_()]
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "votes"]
+    kinds = [pa.int64()] * 5 + [pa.bool_(), pa.string()]
 
     def run(batches):
         for b in bounded(batches):
             rows = []
             for t in b.column(at).to_pylist():
                 m = measure(t)
-                p = votes(m)
-                q, fails = posterior[p], base_failed(m[0], m[4])
-                rows.append((*m[:5], fails, p, q, not fails and q >= threshold))
-            cols = [list(c) for c in zip(*rows)] or [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], *_as_arrow(cols, kinds)], names=[*[f"c{i}" for i in kept], *names])
+                rows.append((*m[:5], base_failed(m[0], m[4]), votes(m)))
+            cols = zip(*rows)
+            yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[*[f"c{i}" for i in kept], *names])
 
     held = ", ".join(f"c{i} {plain.schema[i].dataType.simpleString()}" for i in kept)
-    return plain.mapInArrow(run, held + ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, votes string, quality double, kept boolean")
+    measured = stored(plain.mapInArrow(run, held + ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, votes string"))
+    tally = measured.groupBy("votes").agg(F.count("*").alias("n"))
+    posterior = estimate({r["votes"]: r["n"] for r in tally.collect()})  # at most 3**len(RULES) rows
+    told = docs.sparkSession.createDataFrame(list(posterior.items()), "votes string, quality double")
+    good = measured.join(F.broadcast(told), "votes").withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    return good.select(*[f"c{i}" for i in kept], *names, "quality", "kept")
 
 
 def drop_low_quality(docs: DataFrame, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -1,24 +1,28 @@
 """URL filter by the ratio of two character language models (operator 8).
 
 Hand-written rules decide the URLs they fit. Their decisions are also what the models learn
-from: one variable-order Markov model of accepted URLs and one of rejected URLs, smoothed by
-interpolating each order with the one below (weight: how many different symbols followed the
-context). Any other URL is judged by the difference of the two log-likelihoods per symbol,
-against a threshold calibrated on all labelled URLs.
+from: one variable-order Markov model of accepted URLs and one of rejected URLs. The order goes
+as far as a context has been seen, up to ORDER symbols: each order is interpolated with the one
+below, by how many different symbols followed the context, and unseen contexts leave the lower
+order as it is. Any other URL is judged by the difference of the two log-likelihoods per symbol.
 
-Symbols are the 26 letters (lower-cased), one for any digit, ten marks and one for anything
-else, so that grams of up to ORDER + 1 symbols have a proven bound (39**4, 2.4 million a
-model) whatever the number of URLs. Calibration uses a histogram of BINS bins.
+The ruled URLs are dealt by a hash of the URL: of FOLDS parts one is held out from learning,
+and the threshold is calibrated on it.
 
-Defined cases: a null url or one without :// has empty host and path and an empty symbol
-sequence, whose ratio is 0; without labelled URLs of both kinds the ratio is 0 and the verdict
-allow. Repeated rows each get a row.
+Symbols are the 26 letters (lower-cased), one for any digit, ten marks and one for anything
+else, so that grams of ORDER + 1 symbols have a proven bound (39**4, 2.3 million a model)
+whatever the number of URLs: counts are arrays of that size, and workers get one array of
+differences (18 MB). Lower orders are sums over the higher ones, since every position has its
+ORDER symbols before it (symbol 0 before the first). Calibration uses a histogram of BINS bins.
+
+Defined cases: a null url or one without :// has empty host and path; a null or empty url's
+ratio is 0; without ruled URLs of both kinds to learn from the ratio is 0, and without both
+kinds held out the threshold is 0; a ratio at the threshold is allowed. Repeated rows each get
+a row.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +33,7 @@ from .common import bounded, pick, read
 #: (verdict, host, path prefix): the longest that fits decides.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 ORDER = 3
+FOLDS = 5
 BINS = 2001
 SPAN = 10.0
 _MARKS = "/.-_?=&#%:"
@@ -59,82 +64,60 @@ def ruled(urls: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=
     return base.withColumn("rule", rule).withColumn("ruling", ruling)
 
 
-def grams(url: str | None) -> list[np.ndarray]:
-    """For each order k from 0 the codes of (k symbols before, symbol), one for each position."""
-    s = np.frombuffer((url or "").encode("utf-8", "surrogatepass").translate(_CODE), np.uint8).astype(np.int64)
-    padded = np.concatenate([np.zeros(ORDER, np.int64), s])
-    out, code = [], s
+def grams(urls: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """For every symbol of every URL the code of (ORDER symbols before, symbol), and the URL's place in the list."""
+    coded = [(u or "").encode("utf-8", "surrogatepass").translate(_CODE) for u in urls]
+    gap = bytes(ORDER)
+    s = np.frombuffer(gap + gap.join(coded) + gap, np.uint8).astype(np.int32)
+    code = s.copy()
+    for k in range(1, ORDER + 1):
+        code[k:] += s[:-k] * _BASE**k
+    at = np.flatnonzero(s)
+    return code[at], np.repeat(np.arange(len(coded)), [len(c) for c in coded])
+
+
+def log_probabilities(counts: np.ndarray) -> np.ndarray:
+    """Of every gram, from the counts of all; the first axes are the context, oldest symbol first."""
+    p = np.full(_BASE, 1 / _BASE)
     for k in range(ORDER + 1):
-        if k:
-            code = code + padded[ORDER - k : len(padded) - k] * _BASE**k
-        out.append(code)
-    return out
+        c = counts.reshape((_BASE,) * (ORDER + 1)).sum(axis=tuple(range(ORDER - k)))
+        n, kinds = c.sum(axis=-1, keepdims=True), (c > 0).sum(axis=-1, keepdims=True)
+        p = np.where(n > 0, (c + kinds * p) / np.maximum(1, n + kinds), p)
+    return np.log(p).ravel()
 
 
-class Model:
-    """Log-probabilities of grams from counts {order: {code: count}}; computed when first asked for."""
-
-    def __init__(self, counts: dict[int, dict[int, int]]):
-        self.counts = counts
-        self.context: list[dict[int, list[int]]] = []
-        for k in range(ORDER + 1):
-            ctx: dict[int, list[int]] = {}
-            for code, n in counts.get(k, {}).items():
-                at = ctx.setdefault(self._context(code), [0, 0])
-                at[0] += n
-                at[1] += 1
-            self.context.append(ctx)
-        self.known: dict[int, float] = {}
-
-    @staticmethod
-    def _context(code: int) -> int:
-        """A gram's code without its last symbol (the lowest digit)."""
-        return code - code % _BASE
-
-    def probability(self, code: int) -> float:
-        p = 1 / _BASE
-        for k in range(ORDER + 1):
-            part = code % _BASE ** (k + 1)
-            n, kinds = self.context[k].get(self._context(part), (0, 0))
-            if n:
-                p = (self.counts[k].get(part, 0) + kinds * p) / (n + kinds)
-        return p
-
-    def log(self, code: int) -> float:
-        got = self.known.get(code)
-        if got is None:
-            got = self.known[code] = math.log(self.probability(code))
-        return got
-
-
-def ratio(url: str | None, accepted: Model, rejected: Model) -> float:
-    """Log-likelihood difference per symbol."""
-    codes = grams(url)[ORDER].tolist()
-    return sum(accepted.log(c) - rejected.log(c) for c in codes) / len(codes) if codes else 0.0
-
-
-def learn(labelled: DataFrame) -> dict[str, dict[int, dict[int, int]]]:
+def learn(labelled: DataFrame) -> dict[str, np.ndarray]:
     """Gram counts of each ruling, summed over all rows of (url, ruling)."""
 
     def count(batches):
-        seen: dict[tuple[str, int], dict[int, int]] = {}
+        seen = {}
         for b in bounded(batches):
-            for url, ruling in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for k, codes in enumerate(grams(url)):
-                    at = seen.setdefault((ruling, k), {})
-                    for c in codes.tolist():
-                        at[c] = at.get(c, 0) + 1
-        for (ruling, k), at in seen.items():
-            n = len(at)
-            yield pa.RecordBatch.from_arrays([pa.array([ruling] * n), pa.array([k] * n, pa.int32()), pa.array(list(at), pa.int64()), pa.array(list(at.values()), pa.int64())], names=["ruling", "k", "code", "n"])
-
-    summed = labelled.mapInArrow(count, "ruling string, k int, code long, n long").groupBy("ruling", "k", "code").agg(F.sum("n").alias("n"))
-    out: dict[str, dict[int, dict[int, int]]] = {"allow": {}, "block": {}}
-    for r in summed.toLocalIterator():  # bounded by the number of grams
-        out[r["ruling"]].setdefault(r["k"], {})[r["code"]] = r["n"]
+            urls, rulings = np.array(b.column(0).to_pylist(), object), np.array(b.column(1).to_pylist(), object)
+            for ruling in set(rulings.tolist()):
+                held = seen.setdefault(ruling, np.zeros(_BASE ** (ORDER + 1), np.int64))
+                codes, n = np.unique(grams(urls[rulings == ruling].tolist())[0], return_counts=True)
+                held[codes] += n
+        for ruling, held in seen.items():
+            at = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array([ruling] * len(at)), pa.array(at.astype(np.int32)), pa.array(held[at])], names=["ruling", "code", "n"])
+
+    summed = labelled.mapInArrow(count, "ruling string, code int, n long").groupBy("ruling", "code").agg(F.sum("n").alias("n"))
+    allow = summed.select((F.col("ruling") == "allow").alias("allow"), "code", "n").toArrow()  # bounded by the number of grams
+    kind, code, n = (allow.column(c).to_numpy() for c in ("allow", "code", "n"))
+    out = {}
+    for ruling, mine in (("allow", kind.astype(bool)), ("block", ~kind.astype(bool))):
+        out[ruling] = np.zeros(_BASE ** (ORDER + 1), np.int64)
+        out[ruling][code[mine]] = n[mine]
     return out
 
 
+def ratios(urls: list[str | None], difference: np.ndarray) -> np.ndarray:
+    """Log-likelihood difference per symbol of every URL."""
+    codes, owner = grams(urls)
+    size = np.bincount(owner, minlength=len(urls))
+    return np.bincount(owner, difference[codes], len(urls)) / np.maximum(1, size)
+
+
 def calibrate(histogram: dict[tuple[str, int], int]) -> float:
     """The threshold with the best mean of the shares of accepted and rejected URLs told rightly; of equals the middle one."""
     allow, block = (np.array([histogram.get((x, b), 0) for b in range(BINS)], float) for x in ("allow", "block"))
@@ -150,18 +133,19 @@ def judge(urls: DataFrame, id_col: str = "page_id", url_col: str = "url", rules=
     """(id, host, path, rule, ratio, verdict) for every row of urls."""
     spark = urls.sparkSession
     base = ruled(urls, id_col, url_col, rules)
+    held_out = F.pmod(F.xxhash64("url"), F.lit(FOLDS)) == 0
     labelled = base.where("ruling is not null").select("url", "ruling")
-    counts = learn(labelled)
-    both = bool(counts["allow"]) and bool(counts["block"])
-    sent = spark.sparkContext.broadcast(counts)  # bounded by the number of grams
+    counts = learn(labelled.where(~held_out))
+    both = all(c.any() for c in counts.values())
+    difference = log_probabilities(counts["allow"]) - log_probabilities(counts["block"]) if both else np.zeros(_BASE ** (ORDER + 1))
+    sent = spark.sparkContext.broadcast(difference)  # bounded by the number of grams
 
     def scored(batches):
-        models = [Model(sent.value[x]) for x in ("allow", "block")]
         for b in bounded(batches):
-            r = [ratio(u, *models) if both else 0.0 for u in b.column("url").to_pylist()]
+            r = ratios(b.column("url").to_pylist(), sent.value)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(r, pa.float64())], names=[*b.schema.names, "ratio"])
 
-    hist = labelled.mapInArrow(scored, "url string, ruling string, ratio double")
+    hist = labelled.where(held_out).mapInArrow(scored, "url string, ruling string, ratio double")
     at = F.least(F.lit(BINS - 1), F.greatest(F.lit(0), F.floor((F.col("ratio") / SPAN + 1) / 2 * BINS))).cast("int")
     found = {(r["ruling"], r["bin"]): r["n"] for r in hist.groupBy("ruling", at.alias("bin")).agg(F.count("*").alias("n")).collect()}  # 2 * BINS rows at most
     threshold = calibrate(found)
