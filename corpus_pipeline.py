@@ -16,6 +16,7 @@ from kinloom.llm.near_copies import drop_near_copies
 from kinloom.llm.quality import drop_low_quality
 from kinloom.llm.secret_scan import redact
 from kinloom.llm.simhash import drop_near_duplicates
+from kinloom.session import discard
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each but the last is written to the shared folder and read again."""
+    """All stages over the documents table; each but the last is written to the shared folder and read again.
+
+    What a stage has written is deleted when its successor has written; the last goes with the application."""
     docs = read(spark, sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            discard(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
