@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import argparse
+import os
+import re
 import sys
 
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from .config import Settings
 from .functions.vector import unit
 from .operators import cluster, thresholds
-from .session import session
+from .session import cut, session
 from .sources import listing, results, tables
 
 
@@ -25,7 +27,7 @@ def main(argv: list[str] | None = None) -> int:
     m = sub.add_parser("manifest", help="list a folder's images")
     m.add_argument("folder")
     m.add_argument("out")
-    for name, text in (("cluster", "group faces and keep the result"), ("report", "write a page about the result")):
+    for name, text in (("cluster", "group faces and keep the result"), ("report", "write a page about the result of each event into a folder")):
         c = sub.add_parser(name, help=text)
         c.add_argument("faces")
         c.add_argument("version")
@@ -47,14 +49,17 @@ def main(argv: list[str] | None = None) -> int:
         faces = _faces(spark, a.faces, a.version)
         line = None
         if a.auto:
-            line = thresholds.merge_line(thresholds.same_photo_pairs(faces)).agg(F.min("line")).first()[0]  # of several events the tightest
+            line = cut(thresholds.merge_line(thresholds.same_photo_pairs(faces)).select("event_id", "line"))  # each event its own
         found = cluster.identities(faces, s, line)
         if a.command == "cluster":
-            results.keep_result(found, a.out, s.signature() + (f":line={line}" if line else ""))
+            results.keep_result(found, a.out, s.signature() + (":line=auto" if a.auto else ""))
         else:
             members = faces.join(found, ["event_id", "face_id"])
-            with open(a.out, "w", encoding="utf-8") as f:
-                f.write(results.report(cluster.person_table(faces, found), members, {"signature": s.signature()}))
+            pages = results.report(cluster.person_table(faces, found), members, {"signature": s.signature()})
+            os.makedirs(a.out, exist_ok=True)
+            for page in pages.toLocalIterator():  # one event's at a time
+                with open(os.path.join(a.out, re.sub(r"[^A-Za-z0-9_.-]", "_", str(page["event_id"])) + ".html"), "w", encoding="utf-8") as f:
+                    f.write(page["html"])
     return 0
 
 

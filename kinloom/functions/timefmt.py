@@ -9,7 +9,8 @@ from ..config import FALLBACK_SECONDS_PER_PHOTO
 
 
 def _whole(x: Column) -> Column:
-    return F.floor(x + 0.5).cast("long")
+    """Halves go to the even neighbour."""
+    return F.bround(x).cast("long")
 
 
 def duration_text(seconds: Column) -> Column:
@@ -25,7 +26,7 @@ def duration_text(seconds: Column) -> Column:
 
 def forecast_text(seconds: Column) -> Column:
     s = _whole(seconds)
-    m = _whole(seconds / 60)
+    m = _whole(s / 60)
     return (
         F.when(seconds.isNull() | (seconds <= 0), "no time at all")
         .when(s < 60, F.format_string("%d seconds", s))
@@ -34,6 +35,27 @@ def forecast_text(seconds: Column) -> Column:
     )
 
 
+def spent_text(seconds: Column) -> Column:
+    """Time spent so far, cut to whole units; null stays null."""
+    s = seconds.cast("long")
+    return (
+        F.when(s.isNull(), None)
+        .when(s < 60, F.format_string("%ds", s))
+        .when(s < 3600, F.format_string("%dm", F.floor(s / 60)))
+        .otherwise(F.format_string("%dh %dm", F.floor(s / 3600), F.floor((s % 3600) / 60)))
+    )
+
+
+def left_text(seconds: Column) -> Column:
+    """Time that is left: cut to seconds, then rounded to minutes; null counts as 0."""
+    s = F.coalesce(seconds, F.lit(0)).cast("long")
+    return (
+        F.when(s < 60, F.format_string("%ds", s))
+        .when(s < 3600, F.format_string("%d min", _whole(s / 60)))
+        .otherwise(F.format_string("%dh %dm", F.floor(s / 3600), _whole((s % 3600) / 60)))
+    )
+
+
 def forecast_seconds(photos: Column, rate: Column) -> Column:
     return F.least(F.greatest(photos, F.lit(0)), F.lit(2_000_000)) * F.coalesce(rate, F.lit(FALLBACK_SECONDS_PER_PHOTO))
 

@@ -4,20 +4,24 @@ Pass 1 groups first-class faces by average linkage; groups that hold a photo twi
 pass 2 merges groups greedily by centroid distance, never across the constraint; small faces
 attach to the nearest person at last. Ties go by face id, so any partitioning of the input
 gives the same result. Tasks are bounded: an event of more than `limit` faces is first cut
-into blocks by k-means, which can only split identities that pass 2 may join again."""
+into k-means cells, which are cut again until each fits; that can only split identities, which
+pass 2 may join again. Faces without an event are an event of their own."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import EXACT_LIMIT, QUALITY_WEIGHT_BASE, Settings
 from ..functions.vector import unit_distance
 from ..session import cut
+from . import blocks
 
-BLOCK_FACES = 4_000
+#: Rounds of k-means, and centres that are broadcast at once.
+ROUNDS, CENTRES = 5, 10_000
 
 
 def _type(faces: DataFrame) -> str:
@@ -79,36 +83,87 @@ def average_linkage(x: np.ndarray, threshold: float) -> np.ndarray:
 
 def split_conflicts(x: np.ndarray, photo: np.ndarray, quality: np.ndarray, threshold: float) -> list[list[int]]:
     """Buckets without a repeated photo: faces by falling quality join the nearest fitting bucket below the threshold."""
+    weight = QUALITY_WEIGHT_BASE + quality
+    sums, centres = np.zeros_like(x), np.zeros_like(x)  # of each bucket, weighted and of length 1
+    place, photos = pd.factorize(photo, use_na_sentinel=False)
+    holds = np.zeros((len(x), len(photos)), bool)
     buckets: list[list[int]] = []
-    centres: list[np.ndarray] = []
-    for k in sorted(range(len(x)), key=lambda k: (-quality[k], k)):
-        best, at = threshold, -1
-        for j, members in enumerate(buckets):
-            if photo[k] not in {photo[m] for m in members} and (d := 1 - float(centres[j] @ x[k])) < best:
-                best, at = d, j
-        if at < 0:
-            buckets.append([k])
-            centres.append(x[k])
-        else:
-            buckets[at].append(k)
-            centres[at] = weighted_centroid(x[buckets[at]], quality[buckets[at]])
+    for k in np.lexsort((np.arange(len(x)), -quality)).tolist():
+        n = len(buckets)
+        d = np.where(holds[:n, place[k]], np.inf, 1 - centres[:n] @ x[k])
+        at = int(np.argmin(d)) if n else 0
+        if not n or d[at] >= threshold:
+            at = n
+            buckets.append([])
+        buckets[at].append(k)
+        holds[at, place[k]] = True
+        sums[at] += weight[k] * x[k]
+        length = np.linalg.norm(sums[at])
+        centres[at] = sums[at] / length if length > 1e-10 else sums[at]
     return [sorted(b) for b in buckets]
 
 
-def blocked(faces: DataFrame, limit: int = EXACT_LIMIT, block: int = BLOCK_FACES) -> DataFrame:
-    """faces with `block`: 0 in events of up to `limit` faces, else the number of a k-means cell."""
-    sizes = {r["event_id"]: r["n"] for r in faces.groupBy("event_id").agg(F.count("*").alias("n")).where(F.col("n") > limit).toLocalIterator()}
-    if not sizes:
-        return faces.withColumn("block", F.lit(0))
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    out = faces.where(~F.col("event_id").isin(*sizes)).withColumn("block", F.lit(0))
-    for event, n in sizes.items():
-        rows = faces.where(F.col("event_id") == event).withColumn("v", array_to_vector("x"))
-        model = KMeans(k=max(2, -(-n // block)), seed=0, distanceMeasure="cosine", featuresCol="v", predictionCol="block").fit(rows)
-        out = out.unionByName(model.transform(rows).drop("v"))
-    return out
+def _nearest(batches, sent):
+    """Adds the number of the nearest centre of a row's cell, or -1 where the cell is not among those sent."""
+    cells, centres = sent.value
+    for b in batches:
+        at = np.full(b.num_rows, -1)
+        keys = b.column("cell").to_pylist()
+        x = blocks.matrix(pa.chunked_array([b.column("x")]))
+        by: dict[str, list[int]] = {}
+        for k, cell in enumerate(keys):
+            if cell in cells:
+                by.setdefault(cell, []).append(k)
+        for cell, rows in by.items():
+            lo, hi = cells[cell]
+            at[rows] = np.argmax(x[rows] @ centres[lo:hi].T, axis=1)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at.astype(np.int32))], names=[*b.schema.names, "at"])
+
+
+def _divided(faces: DataFrame, sizes: DataFrame, limit: int) -> DataFrame:
+    """(cell, face_id, at) of all rows in the cells of `sizes` (cell, n): each cut into n / limit parts, two at least, all in one go."""
+    spark = faces.sparkSession
+    rows = cut(faces.join(sizes, "cell").select("cell", "face_id", "x", F.greatest(F.lit(2), F.ceil(F.col("n") / limit)).alias("k")))
+    first = F.row_number().over(Window.partitionBy("cell").orderBy(F.xxhash64("face_id"), "face_id"))
+    centres = rows.withColumn("r", first).where(F.col("r") <= F.col("k")).select("cell", "r", "x")
+    own = rows.select("cell", "face_id", F.col("x").cast("array<double>").alias("x"))
+    for turn in range(ROUNDS + 1):
+        table = centres.orderBy("cell", "r").toArrow()  # CENTRES, about
+        names = table.column("cell").to_pylist()
+        bounds = [i for i in range(len(names)) if not i or names[i] != names[i - 1]] + [len(names)]
+        sent = spark.sparkContext.broadcast(({names[a]: (a, z) for a, z in zip(bounds, bounds[1:])}, blocks.matrix(table.column("x"))))
+        told = own.mapInArrow(lambda batches, sent=sent: _nearest(batches, sent), "cell string, face_id string, x array<double>, at int")
+        if turn < ROUNDS:
+            centres = centroids(told.withColumn("quality", F.lit(0.5)), ["cell", "at"]).select("cell", F.col("at").alias("r"), F.col("centroid").alias("x"))
+    return cut(told.select("cell", "face_id", "at").dropDuplicates(["cell", "face_id"]))
+
+
+def blocked(faces: DataFrame, limit: int = EXACT_LIMIT) -> DataFrame:
+    """faces with `block`: '' in events of up to `limit` faces, else the name of a k-means cell of up to `limit` faces.
+
+    Cells that stay too large are cut again; where vectors are so alike that k-means leaves a cell
+    as it was, faces are dealt by their hash."""
+    event = F.coalesce(F.concat(F.lit("e"), F.col("event_id").cast("string")), F.lit("n"))
+    cells = faces.withColumn("block", F.lit(""))
+    last = None
+    while True:
+        cells = cells.withColumn("cell", F.concat(event, F.lit("|"), "block"))
+        sizes = cut(cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > limit))
+        found = sizes.agg(F.count("*"), F.sum("n"), F.sum(F.greatest(F.lit(2), F.ceil(F.col("n") / limit)))).first()
+        if not found[0]:
+            return cells.drop("cell")
+        if last == found[:2]:  # nothing came apart
+            part = F.pmod(F.xxhash64("face_id"), F.greatest(F.lit(2), F.ceil(2 * F.col("n") / limit)))
+            cells = cells.join(sizes, "cell", "left").withColumn("block", F.when(F.col("n").isNull(), F.col("block")).otherwise(F.concat_ws(".", "block", part.cast("string")))).drop("cell", "n")
+        else:
+            groups = max(1, -(-int(found[2]) // CENTRES))
+            parts = [_divided(cells, sizes.where(F.pmod(F.xxhash64("cell"), F.lit(groups)) == g), limit) for g in range(groups)]
+            at = parts[0]
+            for p in parts[1:]:
+                at = at.unionByName(p)
+            cells = cells.join(at, ["cell", "face_id"], "left").withColumn("block", F.when(F.col("at").isNull(), F.col("block")).otherwise(F.concat_ws(".", "block", F.col("at").cast("string")))).drop("cell", "at")
+        last = found[:2]
+        cells = cut(cells)
 
 
 def pass1(faces: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -133,26 +188,51 @@ def pass1(faces: DataFrame, s: Settings = Settings()) -> DataFrame:
 
 
 def centroids(members: DataFrame, key: list[str]) -> DataFrame:
-    """Quality-weighted unit centroids of members (key, x, quality), with partial sums before the shuffle."""
-    parts = members.select(*key, F.posexplode("x").alias("i", "v"), (QUALITY_WEIGHT_BASE + F.col("quality")).alias("w"))
-    sums = parts.groupBy(*key, "i").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
-    listed = sums.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda p: p["v"]).alias("c"))
+    """Quality-weighted unit centroids of members (key, x, quality), with partial sums before the shuffle; members without a quality count for nothing."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    weighed = members.where("quality is not null").select(*key, array_to_vector(F.col("x").cast("array<double>")).alias("v"), (QUALITY_WEIGHT_BASE + F.col("quality")).cast("double").alias("w"))
+    means = weighed.groupBy(*key).agg(vector_to_array(Summarizer.mean(F.col("v"), F.col("w"))).alias("c"))
     n = F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, v: s + v * v))
-    return listed.select(*key, F.transform("c", lambda v: v / F.when(n < 1e-10, 1.0).otherwise(n)).alias("centroid"))
+    return means.withColumn("n", n).select(*key, F.transform("c", lambda v: v / F.when(F.col("n") < 1e-10, 1.0).otherwise(F.col("n"))).alias("centroid"))
+
+
+def close_pairs(groups: DataFrame) -> DataFrame:
+    """(event_id, a, b, d), a < b, of groups (event_id, group, centroid, line) of one event whose centroid distance is below the event's line.
+
+    Groups are compared in chunks by matrix products; only pairs below the line leave a task."""
 
+    def run(left: pa.Table, right: pa.Table, same: bool) -> pa.Table:
+        d = 1 - blocks.matrix(left.column("centroid")) @ blocks.matrix(right.column("centroid")).T
+        i, j = np.nonzero(d < left.column("line").to_numpy()[:, None])
+        names, others = np.array(left.column("group").to_pylist(), object), np.array(right.column("group").to_pylist(), object)
+        if same:
+            i, j = i[keep := i < j], j[keep]
+        a, b = names[i], others[j]
+        swap = a > b
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        event = left.column("event_id").combine_chunks()
+        return pa.table({"event_id": event.take(pa.array(np.zeros(len(i), np.int64))), "a": pa.array(a, pa.string()), "b": pa.array(b, pa.string()), "d": pa.array(d[i, j])})
 
-def close_pairs(groups: DataFrame, line: float) -> DataFrame:
-    """(event_id, a, b, d) of groups of one event with centroid distance below the line; groups are few per event."""
-    a = groups.select("event_id", F.col("group").alias("a"), F.col("centroid").alias("ca"))
-    b = groups.select("event_id", F.col("group").alias("b"), F.col("centroid").alias("cb"))
-    return a.join(b, "event_id").where("a < b").withColumn("d", unit_distance(F.col("ca"), F.col("cb"))).where(F.col("d") < line).select(*[F.col(c).alias(c) for c in ("event_id", "a", "b", "d")])
+    return blocks.within(groups.select("event_id", "group", "centroid", "line"), ["event_id"], "group", run, f"event_id {_type(groups)}, a string, b string, d double", size=2048)
 
 
-def pass2(faces: DataFrame, groups: DataFrame, s: Settings = Settings(), line: float | None = None) -> DataFrame:
-    """(event_id, group, root, blocked): groups merged closest first, from their first centroids, never over a shared photo."""
+def with_line(rows: DataFrame, line: DataFrame | float | None, default: float) -> DataFrame:
+    """rows with `line`: one for all, or of each event from (event_id, line), the default where there is none."""
+    if not isinstance(line, DataFrame):
+        return rows.withColumn("line", F.lit(float(default if line is None else line)))
+    known = line.select("event_id", F.col("line").alias("own"))
+    return rows.join(known, "event_id", "left").withColumn("line", F.coalesce(F.col("own").cast("double"), F.lit(float(default)))).drop("own")
+
+
+def pass2(faces: DataFrame, groups: DataFrame, s: Settings = Settings(), line: DataFrame | float | None = None) -> DataFrame:
+    """(event_id, group, root, blocked): groups merged closest first, from their first centroids, never over a shared photo.
+
+    `line` is one for all events or, as (event_id, line), one for each."""
     members = faces.join(groups, ["event_id", "face_id"])
     cents = centroids(members.select("event_id", "group", "x", "quality"), ["event_id", "group"])
-    pairs = close_pairs(cents, s.pass2_threshold if line is None else line)
+    pairs = close_pairs(with_line(cents, line, s.pass2_threshold))
     photos = members.groupBy("event_id", "group").agg(F.collect_set("photo_id").alias("photos")).select(*[F.col(c).alias(c) for c in ("event_id", "group", "photos")])
     rule = s.same_photo_rule
 
@@ -191,14 +271,15 @@ def persons(faces: DataFrame, groups: DataFrame, merged: DataFrame, s: Settings
     return rooted.join(named, ["event_id", "root"], "left").select("event_id", "face_id", "person_id")
 
 
-def attach_small(faces: DataFrame, assigned: DataFrame, small: DataFrame, line: float) -> DataFrame:
+def attach_small(faces: DataFrame, assigned: DataFrame, small: DataFrame, line: DataFrame | float) -> DataFrame:
     """(event_id, face_id, person_id) of small faces: the nearest person below the line, if not in the photo already.
 
     Of several small faces of one photo and person the first by id joins; there is no second choice."""
     members = faces.join(assigned.where("person_id is not null"), ["event_id", "face_id"])
     cents = centroids(members.select("event_id", "person_id", "x", "quality"), ["event_id", "person_id"])
-    reach = small.join(cents, "event_id").withColumn("d", unit_distance(F.col("x"), F.col("centroid")))
-    near = reach.groupBy("event_id", "face_id", "photo_id").agg(F.min(F.struct("d", "person_id")).alias("n")).where(F.col("n.d") < line).select("event_id", "face_id", "photo_id", "n.person_id")
+    reach = small.select("event_id", "face_id", "photo_id", "x").join(cents, "event_id").withColumn("d", unit_distance(F.col("x"), F.col("centroid")))
+    best = reach.groupBy("event_id", "face_id", "photo_id").agg(F.min(F.struct("d", "person_id")).alias("n"))
+    near = with_line(best, line, Settings.second_class_assign).where(F.col("n.d") < F.col("line")).select("event_id", "face_id", "photo_id", "n.person_id")
     taken = members.select("event_id", "person_id", "photo_id").distinct()
     free = near.join(taken, ["event_id", "person_id", "photo_id"], "left_anti")
     first = F.row_number().over(Window.partitionBy("event_id", "person_id", "photo_id").orderBy("face_id"))
@@ -206,12 +287,25 @@ def attach_small(faces: DataFrame, assigned: DataFrame, small: DataFrame, line:
     return small.select("event_id", "face_id").join(chosen, ["event_id", "face_id"], "left")
 
 
-def identities(faces: DataFrame, s: Settings = Settings(), line: float | None = None, small_line: float | None = None) -> DataFrame:
-    """(event_id, face_id, person_id) of all accepted faces (face_id, event_id, photo_id, x, quality, height)."""
-    big, small = faces.where(F.col("height") >= s.second_class_face_px), faces.where(F.col("height") < s.second_class_face_px)
+def _named(rows: DataFrame) -> DataFrame:
+    """event_id as a string that is never null."""
+    return rows.withColumn("event_id", F.coalesce(F.concat(F.lit("e"), F.col("event_id").cast("string")), F.lit("n")))
+
+
+def identities(faces: DataFrame, s: Settings = Settings(), line: DataFrame | float | None = None, small_line: DataFrame | float | None = None) -> DataFrame:
+    """(event_id, face_id, person_id) of all accepted faces (face_id, event_id, photo_id, x, quality, height).
+
+    Lines are one for all events or, as (event_id, line), one for each."""
+    kind = _type(faces)
+    faces = _named(faces.select("event_id", "face_id", "photo_id", "x", "quality", "height"))
+    line, small_line = (_named(x) if isinstance(x, DataFrame) else x for x in (line, small_line))
+    tall = F.coalesce(F.col("height") >= s.second_class_face_px, F.lit(False))
+    big, small = faces.where(tall), faces.where(~tall)
     groups = cut(pass1(big, s))  # linkage is the dear part: once only
     found = cut(persons(big, groups, pass2(big, groups, s, line), s))
-    return found.unionByName(attach_small(big, found, small, s.second_class_assign if small_line is None else small_line))
+    told = found.unionByName(attach_small(big, found, small, s.second_class_assign if small_line is None else small_line))
+    event = F.when(F.col("event_id") != "n", F.substring("event_id", 2, 1 << 20)).cast(kind)
+    return told.withColumn("event_id", event)
 
 
 def person_table(faces: DataFrame, assigned: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.text import content_key
+from ..functions.text import content_key, link_slug
+from .blocks import numbered
 from .rollup import size_class
 
 #: Steps of a run, and the phases in which each is under way.
@@ -41,8 +42,8 @@ def size_groups(events: DataFrame) -> DataFrame:
 
 
 def newest_first(events: DataFrame) -> DataFrame:
-    """Events by size, date and id, all falling."""
-    return events.orderBy(F.col("photos").desc(), F.col("filed").desc(), F.col("event_id").desc())
+    """Events with their place (from 0) by size, date and id, all falling."""
+    return numbered(events, [F.col("photos").desc(), F.col("filed").desc(), F.col("event_id").desc()], "place")
 
 
 def step_states(jobs: DataFrame) -> DataFrame:
@@ -72,6 +73,21 @@ def resumed(done: Column, resumed_from: Column, seconds: Column) -> tuple[Column
     return F.greatest(F.lit(0), done - resumed_from), F.greatest(F.lit(0.01), seconds)
 
 
+def free_ids(links: DataFrame, taken: DataFrame, stamp: str) -> DataFrame:
+    """(link, event_id): the id a link asks for, with the day's stamp (mmdd) if it is taken, and a number from 2 if that is too.
+
+    Each link is answered by itself; the smallest free number counts."""
+    asked = links.select("link", link_slug(F.col("link")).alias("base")).withColumn("dated", F.concat("base", F.lit(f"-{stamp}")))
+    used = taken.select("event_id").distinct()
+    parts = rf"^(.*-{stamp})(?:-([2-9]|[1-9]\d+))?$"
+    stem, number = F.regexp_extract("event_id", parts, 1), F.regexp_extract("event_id", parts, 2)
+    numbers = used.where(stem != "").groupBy(stem.alias("dated")).agg(F.collect_set(F.when(number == "", 1).otherwise(number.try_cast("int"))).alias("ns"))
+    free = F.array_min(F.array_except(F.sequence(F.lit(1), F.size("ns") + 1), "ns"))
+    found = asked.join(used.select(F.col("event_id").alias("base"), F.lit(True).alias("used")), "base", "left").join(numbers, "dated", "left")
+    again = F.when(F.col("ns").isNull() | (free == 1), F.col("dated")).otherwise(F.concat("dated", F.lit("-"), free.cast("string")))
+    return found.select("link", F.when(F.col("used").isNull(), F.col("base")).otherwise(again).alias("event_id"))
+
+
 def faces_of_photo(faces: DataFrame) -> DataFrame:
     """Face ids of each photo, read from the ids."""
     return faces.groupBy(F.split("face_id", "_")[0].alias("photo_id")).agg(F.array_join(F.array_sort(F.collect_list("face_id")), ",").alias("faces"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
+from .blocks import numbered
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -30,7 +31,7 @@ def truth(claims: DataFrame, excluded: DataFrame) -> DataFrame:
     """(node, label) from claims (a, b): labels T1, T2, ... by falling size; excluded nodes (node) still pass claims on; groups of one count for nothing."""
     comp = components(claims).join(excluded.select("node"), "node", "left_anti")
     sizes = comp.groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1")
-    named = sizes.select("component", F.concat(F.lit("T"), F.row_number().over(Window.orderBy(F.col("n").desc(), "first")).cast("string")).alias("label"))
+    named = numbered(sizes, [F.col("n").desc(), "first"], "place").select("component", F.concat(F.lit("T"), (F.col("place") + 1).cast("string")).alias("label"))
     return comp.join(named, "component").select("node", "label")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -58,19 +58,23 @@ def distinct_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.where(F.col(a) != F.col(b)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
 
+#: Rows from the end whose weight is more than nothing: 0.7 to the power of 2,100 is 0 in double precision.
+SMOOTHED_ROWS = 2_100
+
+
 def smoothed(log: DataFrame, value: str, order: str, within: str, keep: float = 0.7) -> DataFrame:
-    """Exponentially weighted mean in log order, per group (groups are single jobs)."""
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).cast("double").alias("v")))), lambda x: x["v"])
-    fold = F.aggregate(F.slice("vs", 2, F.size("vs")), F.element_at("vs", 1), lambda s, v: keep * s + (1 - keep) * v)
-    return log.groupBy(within).agg(ordered.alias("vs")).select(within, fold.alias("smoothed"))
+    """Exponentially weighted mean in log order, per group.
+
+    As a sum of weighted rows: only the last SMOOTHED_ROWS of a group weigh anything (for `keep` up
+    to 0.7), and row limits by group hold before the shuffle, so a group may be of any size."""
+    w = Window.partitionBy(within).orderBy(F.col(order).desc())
+    tail = log.select(within, order, F.col(value).cast("double").alias("v")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= SMOOTHED_ROWS)
+    share = F.when(F.lead("k").over(w).isNull(), 1.0).otherwise(1 - keep)
+    weighed = tail.withColumn("share", share)
+    return weighed.groupBy(within).agg(F.sum(F.pow(F.lit(keep), F.col("k") - 1) * F.col("share") * F.col("v")).alias("smoothed"))
 
 
 def latest(log: DataFrame, n: int, order: str, within: str) -> DataFrame:
     """The last n rows of each group."""
     w = Window.partitionBy(within).orderBy(F.col(order).desc())
     return log.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
-
-
-def numbered(rows: DataFrame, order: list[Column], name: str, width: int) -> DataFrame:
-    """Zero-padded position in the order, from 0 (for a manifest, which one event's listing makes)."""
-    return rows.withColumn(name, F.lpad((F.row_number().over(Window.orderBy(*order)) - 1).cast("string"), width, "0"))

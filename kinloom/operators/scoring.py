@@ -70,6 +70,29 @@ def judged_score(same: DataFrame, different: DataFrame, pred: DataFrame) -> Data
     )
 
 
+def blamed(different: DataFrame, pred: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, pred, face): pairs (a, b) called different that share a person, with the face that is out of place there.
+
+    Of the two it is the one with less company: fewer faces in that person whose asserted identity
+    (labels: item, label) is its own; a face without one has the company of the others without a label
+    row, which is none. At a tie it is a."""
+    of = lambda c: pred.select(F.col("item").alias(c), F.col("pred").alias(f"p{c}"))
+    merged = different.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("pa = pb")
+    support = labels.join(pred.select("item", "pred"), "item").groupBy("label", "pred").agg(F.count("*").alias("n"))
+    for c in ("a", "b"):
+        own = labels.select(F.col("item").alias(c), F.col("label").alias(f"l{c}"))
+        n = support.select(F.col("label").alias("sl"), F.col("pred").alias("sp"), F.col("n").alias(f"n{c}"))
+        merged = merged.join(own, c, "left").join(n, F.col(f"l{c}").eqNullSafe(F.col("sl")) & (F.col("pa") == F.col("sp")), "left").drop("sl", "sp")
+    less = F.coalesce("na", F.lit(0)) <= F.coalesce("nb", F.lit(0))
+    return merged.select("a", "b", F.col("pa").alias("pred"), F.when(less, F.col("a")).otherwise(F.col("b")).alias("face"))
+
+
+def merged_examples(different: DataFrame, pred: DataFrame, n: int = 20) -> DataFrame:
+    """The first n pairs called different that share a person, by their faces."""
+    of = lambda c: pred.select(F.col("item").alias(c), F.col("pred").alias(f"p{c}"))
+    return different.select("a", "b").join(of("a"), "a").join(of("b"), "b").where("pa = pb").select("a", "b", F.col("pa").alias("pred")).orderBy("a", "b").limit(n)
+
+
 def candidates(groups: DataFrame, line: float, judged: DataFrame | None = None, n: int = 40) -> DataFrame:
     """Pairs of persons (event_id, person_id, centroid, cover) worth asking about: gap around the line, closest first."""
     from ..functions.vector import unit_distance

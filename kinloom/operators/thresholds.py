@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..config import Settings
 from ..functions.vector import clamp, unit_distance
+from .blocks import quantile
 
 
-def same_photo_pairs(faces: DataFrame, max_pairs: int | None = C.MAX_PAIRS) -> DataFrame:
+def same_photo_pairs(faces: DataFrame, max_pairs: int | None = None) -> DataFrame:
     """(event_id, photo_id, a, b, d) for all pairs a < b of one photo: two faces in one photo are two people.
 
-    With a budget, whole photos count in order of their id until it is reached."""
+    All of them; a caller who wants a budget gets whole photos in order of their id until it is reached."""
     if max_pairs is not None:
         n = faces.groupBy("event_id", "photo_id").agg(F.count("*").alias("n"))
         before = F.sum(F.expr("n * (n - 1) / 2")).over(Window.partitionBy("event_id").orderBy("photo_id").rowsBetween(Window.unboundedPreceding, -1))
@@ -36,19 +37,20 @@ def merge_line(pairs: DataFrame, judged: DataFrame | None = None, default: float
         F.count_if(~usable).alias("duplicates"),
         F.count_if(usable).alias("pairs"),
         F.count_if(usable & (F.col("j") == 1)).alias("judged"),
-        F.percentile(F.when(usable, F.col("d")), 0.01).alias("p1"),
     )
+    s = s.join(quantile(d.where(usable), ["event_id"], "d", 0.01).withColumnRenamed("quantile", "p1"), "event_id", "left")
     enough = F.col("pairs") >= C.MIN_PAIRS
-    line = F.when(enough, F.round(clamp(F.col("p1") * C.PILE_DISCOUNT, C.MERGE_FLOOR, C.MERGE_CEILING), 2)).otherwise(default)
+    line = F.when(enough, F.bround(clamp(F.col("p1") * C.PILE_DISCOUNT, C.MERGE_FLOOR, C.MERGE_CEILING), 2)).otherwise(default)
     basis = F.when(~enough, "default").when(F.col("judged") > 0, "judged").otherwise("measured")
     return s.select("event_id", line.alias("line"), F.round("p1", 6).alias("closest"), "pairs", "duplicates", basis.alias("basis"))
 
 
 def small_face_line(distances: DataFrame, default: float = Settings.second_class_assign) -> DataFrame:
     """Per event, the line for attaching small faces, from (event_id, d) between small faces and other people."""
-    s = distances.groupBy("event_id").agg(F.count("d").alias("pairs"), F.percentile("d", 0.01).alias("p1"))
+    s = distances.groupBy("event_id").agg(F.count("d").alias("pairs"))
+    s = s.join(quantile(distances, ["event_id"], "d", 0.01).withColumnRenamed("quantile", "p1"), "event_id", "left")
     enough = F.col("pairs") >= C.SMALL_MIN_PAIRS
-    line = F.when(enough, F.round(clamp(F.col("p1") * C.SMALL_MARGIN, C.SMALL_FLOOR, C.SMALL_CEILING), 2)).otherwise(default)
+    line = F.when(enough, F.bround(clamp(F.col("p1") * C.SMALL_MARGIN, C.SMALL_FLOOR, C.SMALL_CEILING), 2)).otherwise(default)
     return s.select("event_id", line.alias("line"), F.round("p1", 6).alias("closest"), "pairs", F.when(enough, "measured").otherwise("default").alias("basis"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -85,10 +86,12 @@ def centroid_weighted(spark, d):
 
 @query(f"WITH {FACES}, {CENT}, near AS (SELECT face_id, u.label AS person, 1 - {DOT}(x, c) AS dist FROM faces f CROSS JOIN units u) SELECT face_id, arg_min(person, dist) AS person, round(min(dist), 6) AS d FROM near GROUP BY face_id")
 def nearest_centroid(spark, d):
+    from ..operators.search import nearest_persons
+
     f = planted.faces(spark, d)
-    c = cluster.centroids(f.select("label", "x", "quality"), ["label"]).withColumnRenamed("label", "person")  # identities, a few hundred at most
-    near = f.crossJoin(c).select("face_id", F.struct(V.unit_distance(F.col("x"), F.col("centroid")).alias("d"), "person").alias("n")).groupBy("face_id").agg(F.min("n").alias("n"))
-    return near.select("face_id", "n.person", F.round("n.d", 6).alias("d"))
+    c = cluster.centroids(f.select("label", "x", "quality"), ["label"]).withColumnRenamed("label", "person")
+    near = nearest_persons(f.select(F.col("face_id").alias("q"), F.col("x").alias("qx")), c, line=3.0, margin=0.0)  # no one is further than 2
+    return near.select(F.col("q").alias("face_id"), "person", "d")
 
 
 @query(f"WITH {FACES}, {CENT} SELECT label, min(height) AS min_height, max(height) AS max_height, round(max(1 - {DOT}(x, c)), 6) AS furthest FROM faces JOIN units USING (label) GROUP BY label")
@@ -172,31 +175,74 @@ def identities(spark, d):
     return cluster.identities(planted.faces(spark, d))
 
 
-@query()
+# Splitting, merging and suppressing are greedy: the SQL walks through them step by step, with what has been decided so far in a list.
+_PLUS = "list_transform(range(1, len(x) + 1), lambda i: {} + w * x[i])"
+SPLIT = f"""marked AS (SELECT event_id, label, face_id, photo_id, x, 0.5 + quality AS w, row_number() OVER (PARTITION BY event_id, label ORDER BY quality DESC, face_id) AS k FROM faces WHERE height >= 80),
+double AS (SELECT event_id, label FROM marked GROUP BY 1, 2 HAVING count(*) > count(DISTINCT photo_id)),
+walk(event_id, label, k, st) AS (SELECT event_id, label, k, [{{'f': [face_id], 'p': [photo_id], 's': list_transform(x, lambda v: w * v)}}] FROM marked SEMI JOIN double USING (event_id, label) WHERE k = 1 UNION ALL
+  SELECT event_id, label, k, CASE WHEN best IS NULL THEN list_append(st, {{'f': [face_id], 'p': [photo_id], 's': list_transform(x, lambda v: w * v)}})
+    ELSE list_transform(st, lambda o, j: CASE WHEN j = list_position(ds, best) THEN {{'f': list_append(o.f, face_id), 'p': list_append(o.p, photo_id), 's': {_PLUS.format("o.s[i]")}}} ELSE o END) END
+  FROM (SELECT *, list_min(list_filter(ds, lambda v: v < 0.42)) AS best FROM (SELECT m.*, w.st, list_transform(w.st, lambda o: CASE WHEN list_contains(o.p, photo_id) THEN 9.0 ELSE 1 - {DOT}(o.s, x) / sqrt({DOT}(o.s, o.s)) END) AS ds
+    FROM walk w JOIN marked m ON m.event_id = w.event_id AND m.label = w.label AND m.k = w.k + 1))),
+parts AS (SELECT event_id, unnest(st).f AS f FROM (SELECT event_id, label, arg_max(st, k) AS st FROM walk GROUP BY 1, 2))"""
+
+
+@query(
+    f"""WITH RECURSIVE {COLLIDE}, {SPLIT} SELECT event_id, unnest(f) AS face_id, list_min(f) AS "group" FROM parts
+UNION ALL SELECT event_id, face_id, min(face_id) OVER (PARTITION BY event_id, label) AS "group" FROM marked ANTI JOIN double USING (event_id, label)"""
+)
 def repair_groups(spark, d):
-    """Photos that hold a label twice: groups must be split."""
+    """Photos that hold a label twice: linkage finds the labels, and they must be split."""
     return cluster.pass1(planted.faces(spark, d, collide=True).where("height >= 80"))
 
 
-@query()
+FRAGMENT = "(vec_id // 4) % 5"
+MERGE = f"""frag AS (SELECT *, min(face_id) OVER (PARTITION BY event_id, label, {FRAGMENT}) AS g FROM faces WHERE height >= 80),
+{CENT.replace("label, i", "event_id, g, i").replace("SELECT label, list", "SELECT event_id, g, list").replace("SELECT label, list_transform", "SELECT event_id, g, list_transform").replace("GROUP BY label)", "GROUP BY event_id, g)").replace("FROM faces,", "FROM frag,")},
+held AS (SELECT event_id, g, list(DISTINCT photo_id) AS p FROM frag GROUP BY 1, 2),
+pairs AS (SELECT a.event_id, a.g AS a, b.g AS b, row_number() OVER (PARTITION BY a.event_id ORDER BY 1 - {DOT}(a.c, b.c), a.g, b.g) AS k FROM units a JOIN units b ON a.event_id = b.event_id AND a.g < b.g AND 1 - {DOT}(a.c, b.c) < 0.55),
+walk(event_id, k, st, stopped) AS (SELECT event_id, 0, list({{'g': g, 'r': g, 'p': p}}), 0 FROM held GROUP BY event_id UNION ALL
+  SELECT event_id, k, CASE WHEN ra = rb OR shared THEN st ELSE list_transform(st, lambda o: CASE WHEN o.r = ra OR o.r = rb THEN {{'g': o.g, 'r': least(ra, rb), 'p': o.p}} ELSE o END) END, stopped + (ra <> rb AND shared)::INT
+  FROM (SELECT *, list_has_any(flatten(list_transform(list_filter(st, lambda o: o.r = ra), lambda o: o.p)), flatten(list_transform(list_filter(st, lambda o: o.r = rb), lambda o: o.p))) AS shared
+    FROM (SELECT q.event_id, q.k, w.st, w.stopped, list_filter(w.st, lambda o: o.g = q.a)[1].r AS ra, list_filter(w.st, lambda o: o.g = q.b)[1].r AS rb FROM walk w JOIN pairs q ON q.event_id = w.event_id AND q.k = w.k + 1))),
+last AS (SELECT event_id, arg_max(st, k) AS st, arg_max(stopped, k) AS stopped FROM walk GROUP BY 1)"""
+
+
+def _fragments(f):
+    """Every label in up to five groups, dealt by ids: several of them share photos."""
+    part = F.min("face_id").over(Window.partitionBy("event_id", "label", F.floor(F.col("vec_id") / 4) % 5))
+    return f.select("event_id", "face_id", part.alias("group"))
+
+
+@query(f"""WITH RECURSIVE {COLLIDE}, {MERGE}, each AS (SELECT event_id, unnest(st) AS o, stopped FROM last) SELECT event_id, o.g AS "group", o.r AS root, stopped::BIGINT AS blocked FROM each""")
 def pass2_merge(spark, d):
-    """Overlapping identities: fragments of pass 1 are merged."""
-    f = planted.faces(spark, d, 1.25).where("height >= 80")
-    g = cluster.pass1(f)
-    return cluster.pass2(f, g)
+    """Fragments merge closest first, but never two that share a photo."""
+    f = planted.faces(spark, d, collide=True).where("height >= 80")
+    return cluster.pass2(f, _fragments(f))
+
+
+ATTACH = f"""big AS (SELECT event_id, label, photo_id, x, quality FROM faces WHERE height >= 80),
+{CENT.replace("label, i", "event_id, label, i").replace("SELECT label, list", "SELECT event_id, label, list").replace("GROUP BY label)", "GROUP BY event_id, label)").replace("FROM faces,", "FROM big,")},
+reach AS (SELECT s.event_id, face_id, photo_id, u.label, 1 - {DOT}(s.x, u.c) AS d FROM faces s JOIN units u ON s.event_id = u.event_id WHERE s.height < 80),
+near AS (SELECT event_id, face_id, photo_id, arg_min(label, d) AS label FROM reach GROUP BY 1, 2, 3 HAVING min(d) < 0.38),
+won AS (SELECT event_id, label, photo_id, min(face_id) AS face_id FROM near ANTI JOIN big USING (event_id, label, photo_id) GROUP BY 1, 2, 3)"""
 
 
-@query()
+@query(f"WITH {COLLIDE}, {ATTACH} SELECT f.event_id, f.face_id, w.label AS person_id FROM faces f LEFT JOIN won w ON w.event_id = f.event_id AND w.face_id = f.face_id WHERE f.height < 80")
 def attach_small(spark, d):
-    f = planted.faces(spark, d, 1.25)
+    """Small faces next to persons that are the labels; four neighbours share a photo, so some come too late or meet their own person."""
+    f = planted.faces(spark, d, collide=True)
     big, small = f.where("height >= 80"), f.where("height < 80")
-    g = cluster.pass1(big)
-    return cluster.attach_small(big, cluster.persons(big, g, cluster.pass2(big, g)), small, 0.38)
+    return cluster.attach_small(big, big.select("event_id", "face_id", F.col("label").alias("person_id")), small, 0.38)
 
 
-@query()
+@query(
+    f"""WITH {planted.sql(loners=True)}, first AS (SELECT event_id, CASE WHEN vec_id % 17 = 0 THEN -1 - vec_id % 64 ELSE label END AS label, count(*) AS n FROM faces WHERE height >= 80 GROUP BY 1, 2)
+SELECT f.event_id, face_id, NULL::INT AS person_id FROM faces f LEFT JOIN first g ON g.event_id = f.event_id AND g.label = CASE WHEN vec_id % 17 = 0 THEN -1 - vec_id % 64 ELSE f.label END WHERE coalesce(n, 0) < 3"""
+)
 def leftovers(spark, d):
-    return cluster.identities(planted.faces(spark, d, 1.25)).where("person_id is null")
+    """Faces that are alone, or nearly, in their direction belong to no one."""
+    return cluster.identities(planted.faces(spark, d, loners=True)).where("person_id is null")
 
 
 # Scoring is tested on assignments made up from ids, the same on both engines.
@@ -275,9 +321,18 @@ def content_keys(spark, d):
     return planted.faces(spark, d).groupBy("label").agg(content_key(F.collect_list("face_id")).alias("group_key"))
 
 
-@query("SELECT 'p1=0.4200:p2=0.5500:min=3:sc=0.3800:sp=1:auto=1' AS signature")
+@query(
+    """WITH s(k, p1, p2, m, sc, sp, auto) AS (VALUES (0, 0.42, 0.55, 3, 0.38, 1, 1), (1, 0.5, 0.6123, 2, 0.3, 0, 1), (2, 0.00005, 1.0, 10, 0.38001, 1, 0))
+SELECT k, printf('p1=%.4f:p2=%.4f:min=%d:sc=%.4f:sp=%d:auto=%d', p1::DOUBLE, p2::DOUBLE, m, sc::DOUBLE, sp, auto) AS signature FROM s"""
+)
 def signature_text(spark, d):
-    return spark.range(1).select(F.lit(Settings().signature()).alias("signature"))
+    """Of settings as the environment gives them."""
+    given = [
+        {}, {"PASS1_THRESHOLD": "0.5", "PASS2_THRESHOLD": "0.6123", "MIN_FACES_PER_PERSON": "2", "SECOND_CLASS_ASSIGN": "0.3", "SAME_PHOTO_RULE": "off"},
+        {"PASS1_THRESHOLD": "0.00005", "PASS2_THRESHOLD": "1", "MIN_FACES_PER_PERSON": "10", "SECOND_CLASS_ASSIGN": "0.38001", "SECOND_CLASS_AUTO": "0", "SAME_PHOTO_RULE": " "},
+    ]
+    rows = [(k, Settings.from_env(env={f"KINLOOM_{n}": v for n, v in g.items()}).signature()) for k, g in enumerate(given)]
+    return spark.createDataFrame(rows, "k int, signature string")
 
 
 @query(f"WITH {FACES}, r AS (SELECT event_id, label, face_id, quality, row_number() OVER (PARTITION BY event_id, label ORDER BY quality DESC, face_id) AS k FROM faces) SELECT event_id, label, k::INT AS k, face_id, quality FROM r WHERE k <= 60")
@@ -342,12 +397,47 @@ def face_search(spark, d):
 
 
 @query(
-    f"""WITH {FACES}, h AS (SELECT face_id, event_id, label, vec_id, height, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN x[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT AS phash FROM faces)
-SELECT a.face_id AS a, b.face_id AS b, bit_count(xor(a.phash, b.phash))::INT AS bits FROM h a JOIN h b ON a.face_id < b.face_id AND bit_count(xor(a.phash, b.phash)) < 6"""
+    f"""WITH {FACES}, h AS (SELECT face_id, vec_id, list_sum(list_transform(range(1, 33), lambda i: CASE WHEN x[i] > 0 THEN (1::BIGINT << (i - 1)) ELSE 0 END))::BIGINT AS phash FROM faces)
+SELECT a.face_id, min(b.face_id) FILTER (a.phash = b.phash) AS class, count(*) - 1 AS links FROM h a JOIN h b ON bit_count(xor(a.phash, b.phash)) < 6 GROUP BY a.face_id"""
 )
 def near_dup_hashes(spark, d):
-    from ..operators.search import hamming_pairs
+    """For every face the class of equal hashes it is in, and how many others are near."""
+    from ..operators.search import hash_classes
 
     bits = [F.when(F.element_at("x", i) > 0, F.lit(1 << (i - 1))).otherwise(0).cast("long") for i in range(1, 33)]
     h = planted.faces(spark, d).select("face_id", sum(bits[1:], bits[0]).alias("phash"))
-    return hamming_pairs(h, "face_id", "phash", below=6, bits=32)
+    return hash_classes(h, "face_id", "phash", below=6, bits=32).withColumnRenamed("id", "face_id")
+
+
+# What reviewers called different, made up from ids, on the assignments above.
+DIFFERENT = "diff AS (SELECT a.item AS a, b.item AS b FROM pred a JOIN pred b ON a.event_id = b.event_id AND a.photo_id + 2 = b.photo_id AND a.truth <> b.truth)"
+
+
+def _different(p):
+    b = p.select("event_id", (F.col("photo_id") - 2).alias("photo_id"), F.col("item").alias("b"), F.col("truth").alias("tb"))
+    return p.join(b, ["event_id", "photo_id"]).where("truth <> tb").select(F.col("item").alias("a"), "b")
+
+
+@query(
+    f"""WITH {FACES}, {PRED}, {DIFFERENT}, named AS (SELECT item, 'T' || truth AS label, pred FROM pred WHERE photo_id % 3 <> 0), support AS (SELECT label, pred, count(*) AS n FROM named GROUP BY 1, 2),
+two AS (SELECT a, b, x.pred, coalesce(sa.n, 0) AS na, coalesce(sb.n, 0) AS nb FROM diff JOIN pred x ON x.item = a JOIN pred y ON y.item = b AND y.pred = x.pred LEFT JOIN named la ON la.item = a LEFT JOIN named lb ON lb.item = b
+  LEFT JOIN support sa ON sa.label = la.label AND sa.pred = x.pred LEFT JOIN support sb ON sb.label = lb.label AND sb.pred = x.pred)
+SELECT a, b, pred, CASE WHEN na <= nb THEN a ELSE b END AS face FROM two"""
+)
+def wrong_faces(spark, d):
+    p = _pred(planted.faces(spark, d))
+    labels = p.where("photo_id % 3 <> 0").select("item", F.concat(F.lit("T"), F.col("truth").cast("string")).alias("label"))
+    return scoring.blamed(_different(p), p.select("item", "pred"), labels)
+
+
+@query(f"WITH {FACES}, {PRED}, {DIFFERENT} SELECT a, b, x.pred FROM diff JOIN pred x ON x.item = a JOIN pred y ON y.item = b AND y.pred = x.pred ORDER BY a, b LIMIT 20")
+def merged_examples(spark, d):
+    p = _pred(planted.faces(spark, d))
+    return scoring.merged_examples(_different(p), p.select("item", "pred"))
+
+
+@query(f"WITH {FACES} SELECT count_if(height < 112) AS risky, count(*) AS faces, floor(count_if(height < 112) / count(*) * 100 + 0.5)::INT AS pct FROM faces")
+def risky_faces(spark, d):
+    from ..operators.sentences import risky_share
+
+    return risky_share(planted.faces(spark, d))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import events, scoring
@@ -78,15 +77,9 @@ def size_groups(spark, d):
     return events.size_groups(_sized(spark, d))
 
 
-@query(f"WITH {SIZED} SELECT event_id, photos, filed FROM c ORDER BY photos DESC, filed DESC, event_id DESC LIMIT 30")
-def newest_events(spark, d):
-    return events.newest_first(_sized(spark, d)).select("event_id", "photos", "filed").limit(30)
-
-
 @query(f"WITH {SIZED} SELECT event_id, photos, filed, row_number() OVER (ORDER BY photos DESC, filed DESC, event_id DESC) AS place FROM c")
-def newest_events_all(spark, d):
-    order = Window.orderBy(F.col("photos").desc(), F.col("filed").desc(), F.col("event_id").desc())
-    return events.newest_first(_sized(spark, d)).select("event_id", "photos", "filed", F.row_number().over(order).alias("place"))
+def newest_events(spark, d):
+    return events.newest_first(_sized(spark, d)).select("event_id", "photos", "filed", (F.col("place") + 1).alias("place"))
 
 
 JOBS = "jobs AS (SELECT o_orderkey AS job_id, o_custkey % 60 AS event_id, CASE o_orderkey % 8 WHEN 0 THEN 'queued' WHEN 1 THEN 'checking' WHEN 2 THEN 'manifest' WHEN 3 THEN 'loading' WHEN 4 THEN 'processing' WHEN 5 THEN 'consolidating' WHEN 6 THEN 'clustering' ELSE 'done' END AS phase, o_orderkey % 3 = 0 AS failed, (o_orderkey % 100)::DOUBLE AS pct FROM orders)"

@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import file_kind, sub_album
+from ..operators.blocks import numbered
 
 
 def scan_folder(spark: SparkSession, path: str) -> DataFrame:
-    """(path, name, kind, size, sub_album) of every file below a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", F.col("length").alias("size"))
+    """(path, name, kind, size, sub_album) of every file below a folder, empty ones too; paths start at the folder, contents are not read.
+
+    One listing by the file system's own recursive call, on the driver: rows are made as it
+    goes, in blocks that become partitions."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    base = system.makeQualified(root).toUri().getPath().rstrip("/") + "/"
+    found, walk = [], system.listFiles(root, True)
+    while walk.hasNext():
+        status = walk.next()
+        found.append((status.getPath().toUri().getPath().removeprefix(base), status.getLen()))
+    files = spark.createDataFrame(sorted(found), "path string, size long")
     name = F.element_at(F.split("path", "/"), -1)
     return files.select("path", name.alias("name"), file_kind(name).alias("kind"), "size", sub_album(F.col("path")).alias("sub_album"))
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """Images numbered by the order of their path, part by part (one event's listing)."""
-    w = Window.orderBy(F.split("path", "/"))
-    return files.where("kind = 'image'").withColumn("photo_id", F.lpad((F.row_number().over(w) - 1).cast("string"), 6, "0"))
+    """Images numbered by the order of their path, part by part."""
+    images = numbered(files.where("kind = 'image'"), [F.split("path", "/")], "place")
+    return images.withColumn("photo_id", F.lpad(F.col("place").cast("string"), 6, "0")).drop("place")
 
 
 def scan_stats(files: DataFrame) -> DataFrame:

@@ -53,14 +53,14 @@ def totals(log: DataFrame, value: str, by: str) -> DataFrame:
 
 
 def windowed(events: DataFrame, ts: str, by: str, width: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Counts by event-time window; rows later than `late` are dropped by append and update queries."""
+    """Counts by event-time window, for append queries: a window comes out, and its state goes, when the watermark passes its end; later rows are dropped."""
     w = F.window(ts, width, slide) if slide else F.window(ts, width)
     counted = events.withWatermark(ts, late).groupBy(w.alias("w"), by).agg(F.count("*").alias("n"))
     return counted.select(F.col("w.start").alias("start"), by, "n")
 
 
 def sessions(events: DataFrame, ts: str, by: str, gap: str, late: str = "1 hour") -> DataFrame:
-    """Bursts of activity: a session ends after a gap."""
+    """Bursts of activity, for append queries: a session ends after a gap, and comes out when the watermark passes its end."""
     s = events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), by).agg(F.count("*").alias("n"))
     return s.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), by, "n")
 

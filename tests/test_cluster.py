@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinloom.config import Settings
-from kinloom.operators import cluster, graph, scoring, thresholds
+from kinloom.operators import blocks, cluster, graph, scoring, thresholds
 
 
 def unit(x):
@@ -88,9 +88,70 @@ def test_small_faces_never_found_a_person(spark):
 
 def test_blocks_only_split(spark):
     f = frame(spark, [(around(b, 30, 0.3, i), range(30)) for i, b in enumerate(bases(4))])
-    labelled = cluster.pass1(cluster.blocked(f, limit=50, block=40).drop("block")).join(f.select("face_id", "label"), "face_id")
+    cells = cluster.blocked(f, limit=50)
+    assert cells.count() == f.count() and cells.groupBy("block").count().agg(F.max("count")).first()[0] <= 50
+    labelled = cluster.pass1(cells.drop("block")).join(f.select("face_id", "label"), "face_id")
     assert labelled.groupBy("group").agg(F.countDistinct("label").alias("n")).agg(F.max("n")).first()[0] == 1
-    assert cluster.blocked(f, limit=50, block=40).select("block").distinct().count() > 1
+    small = cluster.blocked(f, limit=7)
+    assert small.groupBy("block").count().agg(F.max("count")).first()[0] <= 7 and small.count() == f.count()
+
+
+def test_blocks_of_faces_that_are_alike(spark):
+    """K-means can't part equal vectors; no cell is left too large, and no face is lost."""
+    f = frame(spark, [(np.repeat(bases(1), 60, axis=0), range(60))])
+    f = f.unionByName(f.withColumn("event_id", F.lit(None).cast(f.schema["event_id"].dataType)))
+    cells = cluster.blocked(f, limit=20)
+    assert cells.count() == 120 and cells.groupBy("event_id", "block").count().agg(F.max("count")).first()[0] <= 20
+
+
+def test_faces_without_an_event(spark):
+    f = frame(spark, [(around(bases(2)[0], 6, 0.1, 1), range(6)), (around(bases(2)[1], 5, 0.1, 2), range(5))])
+    none = f.withColumn("event_id", F.lit(None).cast(f.schema["event_id"].dataType)).withColumn("face_id", F.concat(F.lit("9"), "face_id"))
+    got = cluster.identities(f.unionByName(none)).collect()
+    assert len(got) == 22 and sorted(r.person_id for r in got if r.event_id is None) == sorted(r.person_id for r in got if r.event_id is not None) == [0] * 6 + [1] * 5
+
+
+def test_a_line_for_each_event(spark):
+    f = frame(spark, [(around(bases(1)[0], 12, 0.9, 1), range(12))])
+    kind = f.schema["event_id"].dataType
+    f = f.withColumn("event_id", F.lit(1).cast(kind)).unionByName(f.withColumn("event_id", F.lit(2).cast(kind)))
+    lines = spark.createDataFrame([(1, 0.0), (2, 1.9)], "event_id int, line double").withColumn("event_id", F.col("event_id").cast(kind))
+    roots = {r.event_id: r.n for r in cluster.pass2(f, cluster.pass1(f, Settings(pass1_threshold=0.05)), line=lines).groupBy("event_id").agg(F.countDistinct("root").alias("n")).collect()}
+    assert roots[1] > 1 and roots[2] == 1
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(4)
+    v = {"a": rng.uniform(0.2, 1.2, 5000), "b": rng.uniform(0, 2, 7), "c": np.array([0.5]), "d": np.repeat([0.1, 0.9, 5.0], 50)}
+    rows = spark.createDataFrame([(k, float(x)) for k, xs in v.items() for x in xs] + [("a", None)], "k string, x double")
+    for q in (0.01, 0.5, 0.999):
+        got = {r.k: r.quantile for r in blocks.quantile(rows, ["k"], "x", q).collect()}
+        assert all(np.isclose(got[k], np.quantile(xs, q)) for k, xs in v.items()) and len(got) == 4
+
+
+def test_close_pairs_in_chunks(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = spark.createDataFrame([(k % 2, f"g{k:03d}", v.tolist(), 0.5) for k, v in enumerate(x)], "event_id long, `group` string, centroid array<double>, line double")
+    expected = {(f"g{a:03d}", f"g{b:03d}") for a in range(300) for b in range(a + 1, 300) if a % 2 == b % 2 and 1 - x[a] @ x[b] < 0.5}
+    for size in (16, 2048):
+        chunked = blocks.within
+        blocks.within = lambda *a, size=size, **k: chunked(*a, **(k | {"size": size}))
+        try:
+            got = [(r.a, r.b) for r in cluster.close_pairs(g).collect()]
+        finally:
+            blocks.within = chunked
+        assert len(got) == len(expected) and set(got) == expected
+
+
+def test_blame(spark):
+    pred = spark.createDataFrame([(f, 0) for f in "abcdef"] + [("x", 1)], "item string, pred long")
+    labels = spark.createDataFrame([("a", "T1"), ("b", "T1"), ("c", "T2"), ("d", None)], "item string, label string")
+    pairs = spark.createDataFrame([("a", "c"), ("c", "a"), ("a", "e"), ("e", "f"), ("a", "x")], "a string, b string")
+    got = {(r.a, r.b): r.face for r in scoring.blamed(pairs, pred, labels).collect()}
+    assert got == {("a", "c"): "c", ("c", "a"): "c", ("a", "e"): "e", ("e", "f"): "e"}
+    assert [tuple(r) for r in scoring.merged_examples(pairs, pred, 2).collect()] == [("a", "c", 0), ("a", "e", 0)]
 
 
 def test_centroids_are_unit(spark):

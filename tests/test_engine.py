@@ -88,18 +88,57 @@ def test_folder_scan(spark, tmp_path):
     for p in ("b/2.JPG", "a/10.jpg", "a/clip.mov", "0.png", "a b/x.txt"):
         (tmp_path / p).parent.mkdir(exist_ok=True)
         (tmp_path / p).write_bytes(b"12")
+    (tmp_path / "a" / "deep").mkdir()
+    (tmp_path / "a" / "deep" / "empty.srw").write_bytes(b"")
+    (tmp_path / "a" / ".jpg").write_bytes(b"1")
     files = listing.scan_folder(spark, str(tmp_path))
-    assert [r.name for r in listing.manifest(files).orderBy("photo_id").collect()] == ["0.png", "10.jpg", "2.JPG"]
-    assert listing.scan_stats(files).first().asDict() == {"n_image": 3, "n_raw": 0, "n_video": 1, "n_other": 1, "bytes": 10}
+    assert {(r.path, r.sub_album, r.kind, r.size) for r in files.collect()} == {
+        ("0.png", "", "image", 2), ("a/10.jpg", "a", "image", 2), ("a/clip.mov", "a", "video", 2), ("a b/x.txt", "a b", "other", 2), ("b/2.JPG", "b", "image", 2), ("a/deep/empty.srw", "deep", "raw", 0), ("a/.jpg", "a", "other", 1)
+    }
+    assert [(r.path, r.photo_id) for r in listing.manifest(files).orderBy("photo_id").collect()] == [("0.png", "000000"), ("a/10.jpg", "000001"), ("b/2.JPG", "000002")]
+    assert listing.scan_stats(files).first().asDict() == {"n_image": 3, "n_raw": 1, "n_video": 1, "n_other": 2, "bytes": 11}
+    assert {r.album: r.n for r in listing.album_counts(files).collect()} == {"(root)": 1, "a": 1, "b": 1}
 
 
-@pytest.mark.parametrize("seconds, shown", [(None, "not recorded"), (0, "not recorded"), (0.3, "under 1s"), (5, "5s"), (65, "1m 05s"), (1932, "32m 12s"), (4027, "1h 07m")])
+@pytest.mark.parametrize("seconds, shown", [(None, "not recorded"), (0, "not recorded"), (0.3, "under 1s"), (5, "5s"), (65, "1m 05s"), (2.5, "2s"), (3.5, "4s"), (60.5, "1m 00s"), (59.5, "1m 00s"), (1932, "32m 12s"), (4027, "1h 07m")])
 def test_durations(spark, seconds, shown):
     assert spark.range(1).select(timefmt.duration_text(F.lit(seconds).cast("double"))).first()[0] == shown
 
 
 def test_forecast(spark):
     assert spark.range(1).select(timefmt.forecast_text(timefmt.forecast_seconds(F.lit(5000), F.lit(2.27)))).first()[0] == "3h 09m"
+    shown = lambda s: spark.range(1).select(timefmt.forecast_text(F.lit(s).cast("double"))).first()[0]
+    assert [shown(s) for s in (0, 2.5, 59.5, 89.6, 90, 150, 3599)] == ["no time at all", "2 seconds", "1 min", "2 min", "2 min", "2 min", "1h 00m"]
+    both = spark.createDataFrame([(59.9,), (90.0,), (3599.0,), (7290.0,), (None,)], "s double").select(timefmt.spent_text(F.col("s")).alias("a"), timefmt.left_text(F.col("s")).alias("b")).collect()
+    assert [(r.a, r.b) for r in both] == [("59s", "59s"), ("1m", "2 min"), ("59m", "60 min"), ("2h 1m", "2h 2m"), (None, "0s")]
+
+
+@pytest.mark.parametrize("x0, width, keep", [(5, 100, True), (-5, 100, True), (-30, 100, False), (-0.1, 0.5, True), (-0.2, 0.5, False)])
+def test_boxes_past_a_tile_edge(spark, x0, width, keep):
+    row = [(float(x0), 10.0, float(x0 + width), 50.0, 640, 0, 640, 640, 2000, 640)]
+    box = spark.createDataFrame(row, "x0 double, y0 double, x1 double, y1 double, tx0 int, ty0 int, w int, h int, width int, height int")
+    assert (geometry.on_photo(box).count() == 1) == keep
+    assert geometry.on_photo(box.withColumn("tx0", F.lit(0))).count() == 1  # the edge of the photo
+
+
+def test_faces_are_aligned():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for scale in (1.0, 0.13):  # nearly as it is, and shrunk from a large picture
+        size = int(130 / scale)
+        y, x = np.mgrid[:size, :size]
+        image = np.stack([x * 255 / size, y * 255 / size, rng.integers(0, 2, (size, size)) * 200], axis=2).astype(np.uint8)
+        points = geometry.FACE_TEMPLATE / scale + 5 / scale
+        face, found = geometry.aligned(image, points)
+        assert face.shape == (112, 112, 3) and abs(found - scale) < 1e-6
+        want = (np.arange(112) + 5) * 255 / 130
+        assert np.abs(face[56, :, 0] - want).max() < 4 and np.abs(face[:, 56, 1] - want).max() < 4
+        if scale < 0.5:
+            assert abs(face[..., 2].mean() - 100) < 5 and face[..., 2].std() < 40  # noise is averaged, not picked
+    assert geometry.aligned(image, np.zeros((5, 2))) == (None, 0.0)
+    a = np.arange(6).reshape(2, 3)
+    assert [geometry.upright(a, k).tolist() for k in range(1, 9)] == [[[0, 1, 2], [3, 4, 5]], [[2, 1, 0], [5, 4, 3]], [[5, 4, 3], [2, 1, 0]], [[3, 4, 5], [0, 1, 2]], [[0, 3], [1, 4], [2, 5]], [[3, 0], [4, 1], [5, 2]], [[5, 2], [4, 1], [3, 0]], [[2, 5], [1, 4], [0, 3]]]
 
 
 def test_addresses(spark):
@@ -206,19 +245,20 @@ def test_claims_of_all_events_against_brute_force(spark):
             if x not in comp:
                 comp[x] = start
                 queue += near[x]
-    assert {r.node: r.component for r in catalog.QUERIES["components_all"](spark, data).collect()} == comp
+    assert {r.node: r.component for r in catalog.QUERIES["components_same_group"](spark, data).collect()} == comp
     groups = defaultdict(list)
     for x, c in comp.items():
         if x % 11:
             groups[c].append(x)
     ranked = sorted((g for g in groups.values() if len(g) > 1), key=lambda g: (-len(g), min(g)))
-    assert {r.node: r.label for r in catalog.QUERIES["truth_labels_all"](spark, data).collect()} == {x: f"T{k}" for k, g in enumerate(ranked, 1) for x in g}
+    assert {r.node: r.label for r in catalog.QUERIES["truth_labels"](spark, data).collect()} == {x: f"T{k}" for k, g in enumerate(ranked, 1) for x in g}
     pairs = {(min(a, b), max(a, b)) for a in users for b in [(a * 3 + 1) % 150] if a in comp and comp[a] == comp.get(b)}
-    assert {(r.a, r.b) for r in catalog.QUERIES["contradictions_all"](spark, data).collect()} == pairs
+    assert {(r.a, r.b) for r in catalog.QUERIES["contradictions"](spark, data).collect()} == pairs
 
 
 def test_names_of_whole_texts(spark, tmp_path):
     from kinloom import catalog
 
-    spark.createDataFrame([(1, "\n" * 80 + "a  name"), (2, None), (3, "x" * 50)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert {r.doc_id: r.name for r in catalog.QUERIES["names_all"](spark, str(tmp_path)).collect()} == {1: "a name", 2: None, 3: "x" * 40}
+    texts = [(1, "\n" * 80 + "a  name"), (2, None), (3, "x" * 50), (4, "a\x00b\u200bc\u00a0d\te\u2028f"), (5, "y" * 39 + " z")]
+    spark.createDataFrame([(i, t, "S", "en") for i, t in texts], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.name for r in catalog.QUERIES["names_and_slugs"](spark, str(tmp_path)).collect()} == {1: "a name", 2: "", 3: "x" * 40, 4: "abcd ef", 5: "y" * 39}

@@ -101,3 +101,10 @@ def test_sentences(spark):
     assert text.startswith("Line 0.62, measured on 500 pairs") and "3 pairs look like" in text and text.endswith("upper limit.")
     score = spark.createDataFrame([(1.0, 0.5)], "precision double, recall double").select(sentences.score_text()).first()[0]
     assert score == "No two people were mixed up; 50.0% of pairs were found."
+    small = spark.createDataFrame([(0.30, 0.41, 120, "measured"), (0.38, None, 5, "default")], "line double, closest double, pairs long, basis string")
+    first, second = (r[0] for r in small.select(sentences.small_line_text()).collect())
+    assert first.startswith("Small faces join within 0.30") and first.endswith("range.") and second.startswith("Using the cautious 0.38")
+    told = spark.createDataFrame([(0, 0, 0, 0), (9, 1, 4, 2), (9, 3, 0, 0), (9, 0, 4, 0), (9, 0, 0, 0)], "judged long, wrong long, split_off long, people_split long")
+    assert [r[0][:12] for r in told.select(sentences.verdict_text()).collect()] == ["Nothing has ", "1 face is wi", "3 faces are ", "Nobody is mi", "All that was"]
+    cuts = spark.createDataFrame([(None, 0.4, 0.4), (0.3, 0.5, 0.4), (0.6, 0.5, 0.55)], "floor double, ceiling double, cut double")
+    assert [r[0].split()[0] for r in cuts.select(sentences.evidence_text()).collect()] == ["Judge", "The", "The"]

@@ -3,11 +3,12 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from kinloom import cli
 from kinloom.operators import events, graph, judgements
 from kinloom.operators.journal import live
-from kinloom.sources import results, tables
+from kinloom.sources import results, store, tables
 
 
 def test_judgements_are_checked():
@@ -72,7 +73,50 @@ def test_command_line(spark, tmp_path, capsys):
     found = spark.read.parquet(str(tmp_path / "r"))
     assert found.groupBy("person_id").count().orderBy("person_id").collect() == [(0, 4), (1, 4)]
     assert cli.main(["report", str(tmp_path / "faces"), "v1", str(tmp_path / "r.html")]) == 0
-    assert "Person 2" in (tmp_path / "r.html").read_text()
+    page = (tmp_path / "r.html" / "ev.html").read_text()
+    assert "Person 2" in page and page.count("<li>") == 8 and "signature" in page
+
+
+def test_caches(spark, tmp_path):
+    made, dropped = [], []
+    cache = results.Cache(3, dropped.append)
+    get = lambda key, stamp: cache.get(key, stamp, lambda: made.append(key) or f"{key}{stamp}")
+    assert get("a", 1) == get("a", 1) == "a1" and made == ["a"]
+    assert get("a", 2) == "a2" and dropped == ["a1"]  # written again
+    get("b", 1), get("c", 1)
+    assert len(cache) == 3 and get("d", 1) == "d1" and len(cache) == 1 and sorted(dropped) == ["a1", "a2", "b1", "c1"]
+    path = str(tmp_path / "faces")
+    assert results.stamp(spark, path) is None
+    face_table(spark, path)
+    one = results.kept_table(spark, path, "v1")
+    assert results.kept_table(spark, path, "v1") is one and one.count() == 8
+    f = one.select("event_id", "face_id", "photo_id", F.col("embedding").cast("array<double>").alias("x"))
+    assert results.kept_negatives(spark, path, f) is results.kept_negatives(spark, path, f) and results.kept_negatives(spark, path, f).count() == 4
+    before = results.stamp(spark, path)
+    tables.write_faces(spark.read.parquet(path).limit(3).cache(), path)
+    assert results.stamp(spark, path) != before and results.kept_table(spark, path, "v1") is not one
+
+
+def test_object_store(tmp_path):
+    s = store.Store(f"file:{tmp_path}")
+    s.put_text("r2://b/ev/1/a.json", "é")
+    s.put_text("r2://b/ev/1/a.json", "ü")
+    s.put_bytes("r2://b/ev/2/b c.bin", b"12")
+    with s.open_append("r2://b/ev/2/log") as f:
+        f.write(b"x\n")
+    with s.open_append("r2://b/ev/2/log") as f:
+        f.write(b"y\n")
+    (tmp_path / "b" / "ev" / "2" / "half.partial").write_bytes(b"")
+    assert s.get_text("r2://b/ev/1/a.json") == "ü" and s.get_bytes("r2://b/ev/2/log") == b"x\ny\n"
+    assert list(s.list_keys("r2://b/ev/")) == ["r2://b/ev/1/a.json", "r2://b/ev/2/b c.bin", "r2://b/ev/2/log"] and list(s.list_keys("r2://b/ev/2/l")) == ["r2://b/ev/2/log"]
+    assert list(s.list_prefixes("r2://b/ev/")) == ["1", "2"] and list(s.list_keys("r2://none/")) == []
+    assert s.public_url("r2://b/ev/2/b c.bin", "r2://b/ev/1/a.json") == "../2/b%20c.bin"
+    s.delete("r2://b/ev/2/log")
+    s.delete("r2://b/ev/2/log")
+    assert not s.exists("r2://b/ev/2/log") and s.exists("r2://b/ev/1/a.json")
+    for bad in ("/bare", "r2://b/../x", "r2://b/a/../../x", "r2://"):
+        with pytest.raises(store.BadAddress):
+            s.get_bytes(bad)
 
 
 def test_step_states_cover_all_phases(spark):
