@@ -23,11 +23,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def bounded(batches):
-    """The Arrow batches in slices of bounded rows and bytes (one row at least), without empty ones.
+def lowered(spark: SparkSession) -> None:
+    """Hand Python workers little at a time: lowers the session's bounds on Arrow batches, never raises them.
+
+    At the usual bounds (10,000 rows, 64 MB) the buffers on both sides take some hundred MB of an
+    executor; the bounds are read when a plan runs, so they can't be put back before."""
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key).lower().removesuffix("b")
+        if not now.lstrip("-").isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
-    Spark hands on up to 10,000 rows or 64 MB at once; what an operator makes of them as Python
-    objects is bounded here, so that no setting of the caller's session has to change."""
+
+def bounded(batches):
+    """The Arrow batches in slices of bounded rows and bytes (one row at least), without empty ones: what becomes of them in Python is bounded whatever the session's settings."""
     for b in batches:
         rows = max(1, min(BATCH_ROWS, b.num_rows * BATCH_BYTES // max(1, b.nbytes)))
         for at in range(0, b.num_rows, rows):

@@ -3,8 +3,9 @@
 Fingerprints a few bits apart are only some of the near copies, so the pipeline looks for the
 rest here. The search loses no pair. A text's shingles are put in one order for all texts; two
 sets that are similar enough share a shingle among the first n - ceil(4n/5) + 1 of each (of n),
-and at the first one they share the rest is long enough. Pairs sought there are compared word by
-word. Shingles that a sample of texts shows to be common come last in the order: that decides
+and at the first one they share the rest is long enough. Pairs sought there are first compared by
+sketches, counts of shingles by bin, which bound what two texts share from above; the pairs that
+are left are compared word by word. Shingles that a sample of texts shows to be common come last in the order: that decides
 how many pairs are looked at, never which are found.
 
 A crowded shingle (more than CROWD texts) first gives pairs of neighbours by length; then only
@@ -24,10 +25,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
-from .common import bounded, cut, join_counted, pick, position, utf8
+from .common import bounded, cut, join_counted, pick, position, stored, utf8
 
 SHINGLE = 5
 CROWD = 8
+PER_BIN, _FULL = 4, 0xFFFF
 #: Texts of the sample that shows common shingles, in how many of them one is common, and how many are kept.
 SAMPLE, COMMON, MOST_COMMON = 4_000, 4, 200_000
 _LOW = np.uint64((1 << 63) - 1)
@@ -58,6 +60,23 @@ def first(text: str | None, common: np.ndarray) -> tuple[np.ndarray, int]:
     return h[: n - (4 * n + 4) // 5 + 1] if n else h, n
 
 
+def sketch(text: str | None) -> bytes:
+    """How many of a text's shingles fall into each bin by hash; about PER_BIN to a bin, in a power of two of bins."""
+    h = hashes(text)
+    bins = 1 << max(3, (len(h) // PER_BIN).bit_length())
+    return np.minimum(np.bincount((h % np.uint64(bins)).astype(np.int64), minlength=bins), _FULL).astype("<u2").tobytes()
+
+
+def perhaps(a: bytes, b: bytes) -> bool:
+    """Whether texts with these sketches can be similar: what they share is at most what their bins share."""
+    x, y = np.frombuffer(a, "<u2").astype(np.int64), np.frombuffer(b, "<u2").astype(np.int64)
+    if x.max() == _FULL or y.max() == _FULL:
+        return True
+    bins = min(len(x), len(y))  # the finer one is folded
+    x, y = x.reshape(-1, bins).sum(axis=0), y.reshape(-1, bins).sum(axis=0)
+    return 9 * int(np.minimum(x, y).sum()) >= 4 * int(x.sum() + y.sum())
+
+
 def common_shingles(base: DataFrame) -> np.ndarray:
     every = max(1, base.count() // SAMPLE)
 
@@ -149,10 +168,25 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     found = cut(rows.repartition("h").sortWithinPartitions("h", "n", "id").mapInArrow(sought, f"h long, a {kind}, b {kind}, n int, p int"))
 
+    def sketches(batches):
+        for b in bounded(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([sketch(t) for t in b.column(1).to_pylist()], pa.binary())], names=["doc_id", "s"])
+
     def compared(pairs):
         pairs = cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
         named = cut(pairs.select("a").union(pairs.select("b")).distinct())
-        texts = cut(join_counted(base, named.select(F.col("a").alias("doc_id")), "doc_id", "left_semi"))
+        drawn = join_counted(base, named.select(F.col("a").alias("doc_id")), "doc_id", "left_semi").mapInArrow(sketches, f"doc_id {kind}, s binary")
+        told = cut(drawn)
+        by = lambda c: told.select(F.col("doc_id").alias(c), F.col("s").alias(f"s{c}"))
+
+        def near(batches):
+            for b in batches:
+                ok = [perhaps(x, y) for x, y in zip(b.column("sa").to_pylist(), b.column("sb").to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        pairs = cut(pairs.join(by("a"), "a").join(by("b"), "b").select("a", "b", "sa", "sb").mapInArrow(near, f"a {kind}, b {kind}"))
+        named = cut(pairs.select("a").union(pairs.select("b")).distinct())
+        texts = stored(join_counted(base, named.select(F.col("a").alias("doc_id")), "doc_id", "left_semi"))
         of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
 
         def check(batches):

@@ -6,9 +6,10 @@ vote is right and how often it speaks for good and for bad documents; the poster
 probability that a document is good decides, instead of every rule having to pass.
 
 There are at most 3**len(RULES) patterns, so their counts are a bounded table whatever the
-corpus; every document is counted. Texts are measured once: the measures are written to the
-shared folder beside what the caller keeps, counted from there, and joined with the patterns'
-posterior probabilities. Documents the base rules fail are rejected in any case.
+corpus; every document is counted. Where the text itself isn't kept it is measured once: the
+measures are written to the shared folder, counted from there, and joined with the patterns'
+posterior probabilities. Where it is kept (the pipeline), texts are measured again rather than
+written, which would take as much disk as the corpus. Documents the base rules fail are rejected in any case.
 
 Defined cases: a null, empty or wordless text has no words and is rejected; repeated rows each
 get a row; on an empty table nothing is estimated.
@@ -128,6 +129,16 @@ def estimate(counts: dict[str, int], rounds: int = ROUNDS) -> dict[str, float]:
     return dict(zip(patterns, good.tolist()))
 
 
+def tallied(batches):
+    """Vote patterns of a column of texts, counted."""
+    seen: dict[str, int] = {}
+    for b in bounded(batches):
+        for t in b.column(0).to_pylist():
+            p = votes(measure(t))
+            seen[p] = seen.get(p, 0) + 1
+    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["votes", "n"])
+
+
 def judge(docs: DataFrame, text_col: str = "text", keep_text: bool = True, threshold: float = THRESHOLD) -> DataFrame:
     """docs' columns by position (c0, c1, ...) with the measures, base_failed, votes, quality and kept."""
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
@@ -146,8 +157,13 @@ def judge(docs: DataFrame, text_col: str = "text", keep_text: bool = True, thres
             yield pa.RecordBatch.from_arrays([*[b.column(i) for i in kept], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[*[f"c{i}" for i in kept], *names])
 
     held = ", ".join(f"c{i} {plain.schema[i].dataType.simpleString()}" for i in kept)
-    measured = stored(plain.mapInArrow(run, held + ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, votes string"))
-    tally = measured.groupBy("votes").agg(F.count("*").alias("n"))
+    measured = plain.mapInArrow(run, held + ", n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, votes string")
+    if keep_text:
+        votes_ = plain.select(F.col(f"c{at}").alias("text")).mapInArrow(tallied, "votes string, n long")
+    else:
+        measured = stored(measured)
+        votes_ = measured.select("votes", F.lit(1).cast("long").alias("n"))
+    tally = votes_.groupBy("votes").agg(F.sum("n").alias("n"))
     posterior = estimate({r["votes"]: r["n"] for r in tally.collect()})  # at most 3**len(RULES) rows
     told = docs.sparkSession.createDataFrame(list(posterior.items()), "votes string, quality double")
     good = measured.join(F.broadcast(told), "votes").withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))

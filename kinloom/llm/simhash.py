@@ -228,8 +228,12 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     key = f"c{position(docs, id_col)}"
-    kept = plain.join(keep.select(F.col("doc_id").alias(key)), key, "left_semi").dropDuplicates([key])
-    return kept.select(*plain.columns).unionAll(plain.filter(F.col(key).isNull())).toDF(*names)
+    again = cut(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(key)))
+    kept = join_counted(plain, keep.select(F.col("doc_id").alias(key)), key, "left_semi").select(*plain.columns)
+    if not again.isEmpty():  # only rows whose id is repeated are dealt by id
+        once = join_counted(kept, again, key, "left_semi").dropDuplicates([key]).select(*plain.columns)
+        kept = join_counted(kept, again, key, "left_anti").select(*plain.columns).unionAll(once)
+    return kept.unionAll(plain.filter(F.col(key).isNull())).toDF(*names)
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
