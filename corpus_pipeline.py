@@ -10,7 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from kinloom.llm.bpe import digests
-from kinloom.llm.common import cut, pick, read, shared_folder
+from kinloom.llm.common import lowered, pick, read, shared_folder, stored
 from kinloom.llm.decontaminate import decontaminate
 from kinloom.llm.near_copies import drop_near_copies
 from kinloom.llm.quality import drop_low_quality
@@ -21,16 +21,19 @@ from kinloom.session import discard
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality model rejects."""
+    lowered(spark)
     return drop_low_quality(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: by fingerprints, and of what is left by five-word shingles."""
-    return drop_near_copies(cut(drop_near_duplicates(docs)))
+    lowered(spark)
+    return drop_near_copies(stored(drop_near_duplicates(docs)))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a benchmark window."""
+    lowered(spark)
     return decontaminate(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -41,6 +44,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and checksums of every document."""
+    lowered(spark)
     return digests(pick(docs, doc_id="doc_id", text="text"))
 
 
