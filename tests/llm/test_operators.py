@@ -764,8 +764,34 @@ def test_pipeline_leaves_no_near_copies(spark):
         root |= {x: lo for x, r in list(root.items()) if r == hi} | {u: lo, v: lo, hi: lo, lo: lo}
     got = {r.node: r.component for r in near_copies.near_copies(docs).collect()}
     assert got == root and len(set(root.values())) > 9 and len(root) > 40
+    for chunk in (1, 5):  # every common shingle is dealt over several tasks, by parts and by pairs of chunks
+        assert {r.node: r.component for r in near_copies.near_copies(docs, chunk=chunk).collect()} == root
     left = corpus_pipeline.near_duplicates(spark, docs, "")
     assert left.columns == docs.columns and left.where("doc_id is null").count() == 1
     assert not brute([(r.doc_id, r.text) for r in left.collect() if r.doc_id is not None])
     by_fingerprint = simhash.drop_near_duplicates(docs).where("doc_id is not null").collect()
     assert brute([(r.doc_id, r.text) for r in by_fingerprint])  # what fingerprints alone leave
+
+
+def test_near_copies_of_a_crowd(spark, monkeypatch):
+    """Texts that share a passage but are no copies of each other crowd its shingles, if the sample misses them; the copies among them are found whatever the chunks."""
+    from kinloom.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "common_shingles", lambda base: (np.empty(0, np.uint64), np.empty(0, np.int64)))
+    draw = random.Random(8)
+    words = [f"w{k}" for k in range(5000)]
+    passage = draw.choices(words, k=40)
+    own = [draw.choices(words, k=60) for _ in range(60)]
+    texts = [" ".join(passage + o) for o in own] + [" ".join(passage + o[:-1]) for o in own[::7]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {d: k * 7 for k in range(len(own[::7])) for d in (k * 7, 60 + k)}
+    for chunk in (7, 4096):
+        assert {r.node: r.component for r in near_copies.near_copies(docs, chunk=chunk).collect()} == want
+
+
+def test_shingle_hashes():
+    from kinloom.llm import near_copies
+    import xxhash
+
+    for text in (None, "", " \n", "a", "A b", "a b c d e", "one Two three four five six one two three four five", "é " * 9):
+        assert near_copies.hashes(text).tolist() == sorted({xxhash.xxh64_intdigest(s) & ((1 << 63) - 1) for s in near_copies.shingles(text)})
