@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame
 
 from .common import bounded, pick, position, read
 
-#: Chunks (and words) a worker remembers before it starts anew.
-MEMORY = 250_000
+#: What a worker remembers before it starts anew: chunks with their ids and tokens (large), words' ids, and pairs (small, and dear to find again).
+CHUNKS, WORDS, PAIRS = 250_000, 80_000, 250_000
 _SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD_SPACES = regex.compile(r"[\x1c-\x1f]")
 _END = "\ue000"
@@ -86,7 +86,7 @@ def printable_bytes() -> list[str]:
 class WordBpe:
     """Encoder and decoder of one vocabulary file (BPE with an end-of-word suffix)."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, chunks: int = CHUNKS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -112,8 +112,8 @@ class WordBpe:
                 self.automaton.add_word(s, (len(s.removesuffix(_END)), i))
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
-        self.known_words = Remembered(MEMORY // 3)
-        self.known = Remembered(MEMORY)
+        self.known_words = Remembered(WORDS)
+        self.known = Remembered(chunks)
 
     def _symbols(self, s: str) -> list[int]:
         end = s.endswith(_END)
@@ -136,7 +136,7 @@ class WordBpe:
         key = a << 20 | b
         got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) > MEMORY:
+            if len(self.pairs) > PAIRS:
                 self.pairs.clear()
             got = self.pairs[key] = self._merge(self._symbols(self.spelled[a]) + self._symbols(self.spelled[b])) == [a, b]
         return got
@@ -226,17 +226,17 @@ class WordBpe:
 
 
 @lru_cache(maxsize=1)
-def load(path: str) -> WordBpe:
-    return WordBpe(path)
+def load(path: str, chunks: int = CHUNKS) -> WordBpe:
+    return WordBpe(path, chunks)
 
 
-def _mapped(docs: DataFrame, text_col: str, path: str, names: list[str], kinds: list[pa.DataType], sql: str, make, keep_text: bool) -> DataFrame:
+def _mapped(docs: DataFrame, text_col: str, path: str, names: list[str], kinds: list[pa.DataType], sql: str, make, keep_text: bool, chunks: int = CHUNKS) -> DataFrame:
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     at = position(docs, text_col)
     kept = [i for i in range(len(docs.columns)) if keep_text or i != at]
 
     def run(batches):
-        coder = load(path)
+        coder = load(path, chunks)
         gc.freeze()  # the memory of chunks has no cycles; walking it again and again takes a third of the time
         gc.set_threshold(200_000, 50, 1000)
         for b in bounded(batches):
@@ -254,9 +254,9 @@ def encode(docs: DataFrame, text_col: str = "text", path: str | None = None) ->
     return _mapped(docs, text_col, path or default_vocabulary(), ["ids", "decoded"], [pa.list_(pa.int32()), pa.string()], "ids array<int>, decoded string", make, True)
 
 
-def digests(docs: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """docs without the text, with `n_tokens`, `ids_sha256` and `decoded_sha256`."""
-    return _mapped(docs, text_col, path or default_vocabulary(), ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()], "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda coder, t: coder.digest(t), False)
+def digests(docs: DataFrame, text_col: str = "text", path: str | None = None, chunks: int = CHUNKS) -> DataFrame:
+    """docs without the text, with `n_tokens`, `ids_sha256` and `decoded_sha256`; workers remember up to `chunks` chunks twice, which changes time and memory only."""
+    return _mapped(docs, text_col, path or default_vocabulary(), ["n_tokens", "ids_sha256", "decoded_sha256"], [pa.int64(), pa.string(), pa.string()], "n_tokens long, ids_sha256 string, decoded_sha256 string", lambda coder, t: coder.digest(t), False, chunks)
 
 
 def op5_bpe(spark, sf_dir: str) -> DataFrame:

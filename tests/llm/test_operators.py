@@ -791,7 +791,6 @@ def test_near_copies_of_a_crowd(spark, monkeypatch):
 
 def test_shingle_hashes():
     from kinloom.llm import near_copies
-    import xxhash
 
     for text in (None, "", " \n", "a", "A b", "a b c d e", "one Two three four five six one two three four five", "é " * 9):
         assert near_copies.hashes(text).tolist() == sorted({xxhash.xxh64_intdigest(s) & ((1 << 63) - 1) for s in near_copies.shingles(text)})
