@@ -45,7 +45,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and checksums of every document."""
     lowered(spark)
-    return digests(pick(docs, doc_id="doc_id", text="text"))
+    return digests(pick(docs, doc_id="doc_id", text="text"), chunks=50_000)  # a worker keeps what it remembers beside the other stages' needs
 
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]
