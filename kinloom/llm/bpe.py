@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from .common import bounded, pick, position, read
 
 #: What a worker remembers before it starts anew: chunks with their ids and tokens (large), words' ids, and pairs (small, and dear to find again).
-CHUNKS, WORDS, PAIRS = 250_000, 80_000, 250_000
+CHUNKS, WORDS, PAIRS = 250_000, 83_333, 250_000
 _SPACES = regex.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD_SPACES = regex.compile(r"[\x1c-\x1f]")
 _END = "\ue000"
