@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinloom.config import Settings
-from kinloom.operators import blocks, cluster, graph, scoring, thresholds
+from kinloom.operators import blocks, cluster, graph, linkage, scoring, thresholds
 
 
 def unit(x):
@@ -104,6 +104,49 @@ def test_blocks_of_faces_that_are_alike(spark):
     assert cells.count() == 120 and cells.groupBy("event_id", "block").count().agg(F.max("count")).first()[0] <= 20
 
 
+def groups_of(rows):
+    return {(r.event_id, r.face_id): r.group for r in rows.collect()}
+
+
+def test_a_large_event_is_linked_as_a_whole(spark):
+    """12,300 faces of one person, three of each vector, are one group, beside an event that is small."""
+    x = np.repeat(around(bases(1, 8)[0], 4100, 0.3, 1), 3, axis=0)
+    f = frame(spark, [(x, range(len(x)))]).unionByName(frame(spark, [(x[:5], range(5))]).withColumn("event_id", F.lit(1).cast("long")))
+    got = groups_of(cluster.pass1(f))
+    assert len(got) == 12_305 and {event: g for (event, _), g in got.items()} == {0: "000000_00000", 1: "000000_00000"} and len(set(got.values())) == 1
+
+
+@pytest.mark.parametrize("rule", [True, False])
+def test_linkage_by_parts_and_rounds_equals_one_matrix(spark, rule):
+    """Loose people that touch, single faces, copies, and photos that come twice; a limit of 12 needs rounds, one of 100 parts only."""
+    rng = np.random.default_rng(8)
+    people = [(around(b, 40, s, i), rng.permutation(60)[:40]) for i, (b, s) in enumerate(zip(bases(6), (0.3, 0.6, 0.9, 1.1, 1.3, 0.9)))]
+    people += [(np.repeat(bases(7)[6:], 30, axis=0), range(30)), (around(unit(bases(1)[0] + 0.5 * bases(2)[1]), 20, 0.5, 9), rng.integers(0, 9, 20))]
+    f = frame(spark, people)
+    f = f.unionByName(f.where("label < 3").withColumn("event_id", F.lit(None).cast("long")))
+    settings = Settings(same_photo_rule=rule)
+    whole = groups_of(cluster.pass1(f, settings))
+    assert len(whole) == f.count() and 20 < len(set(whole.values())) < 250
+    for limit in (12, 100):
+        assert groups_of(cluster.pass1(f.repartition(3), settings, limit=limit)) == whole
+
+
+def test_nearest_and_forest_equal_all_distances():
+    rng = np.random.default_rng(2)
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (rng.normal(size=(1500, 6)), rng.normal(size=(1100, 6))))
+    d, own = 1 - x @ y.T, 1 - x @ x.T
+    np.fill_diagonal(own, np.inf)
+    to_y, dx, to_x, dy = linkage.nearest(x, y)
+    assert (to_y == d.argmin(1)).all() and (to_x == d.argmin(0)).all() and np.allclose(dx, d.min(1)) and np.allclose(dy, d.min(0))
+    assert (linkage.nearest(x)[0] == own.argmin(1)).all() and np.allclose(linkage.nearest(x)[1], own.min(1))
+    for below in (0.005, 0.02, 0.1):
+        part = np.arange(len(x) + len(y))
+        for i, j in zip(*np.nonzero(d < below)):
+            part[part == part[len(x) + j]] = part[i]
+        a, b = linkage.forest(x, y, below)
+        assert len(a) == len(part) - len(set(part)) and (d[a, b] < below).all()  # as few as can be, and none that joins nothing
+
+
 def test_faces_without_an_event(spark):
     f = frame(spark, [(around(bases(2)[0], 6, 0.1, 1), range(6)), (around(bases(2)[1], 5, 0.1, 2), range(5))])
     none = f.withColumn("event_id", F.lit(None).cast(f.schema["event_id"].dataType)).withColumn("face_id", F.concat(F.lit("9"), "face_id"))
