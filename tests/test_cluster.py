@@ -147,6 +147,42 @@ def test_nearest_and_forest_equal_all_distances():
         assert len(a) == len(part) - len(set(part)) and (d[a, b] < below).all()  # as few as can be, and none that joins nothing
 
 
+def naive_split(x, photo, quality, threshold):
+    buckets = []
+    for k in sorted(range(len(x)), key=lambda k: (-quality[k], k)):
+        free = [b for b in buckets if photo[k] not in b["photos"]]
+        d = [1 - x[k] @ b["sum"] / np.linalg.norm(b["sum"]) for b in free]
+        if d and min(d) < threshold:
+            b = free[int(np.argmin(d))]
+        else:
+            buckets.append(b := {"photos": set(), "sum": np.zeros(x.shape[1]), "rows": []})
+        b["photos"].add(photo[k])
+        b["sum"] = b["sum"] + (0.5 + quality[k]) * x[k]
+        b["rows"].append(k)
+    return [sorted(b["rows"]) for b in buckets]
+
+
+def test_a_large_event_is_split_as_a_whole(spark):
+    """12,300 faces of one person, two in a photo or three: no cell comes between those that belong together."""
+    x = around(bases(1, 8)[0], 4100, 0.3, 1)[np.arange(12_300) % 4100]
+    f = frame(spark, [(x, np.arange(12_300) // 2 % 5000)])
+    rows = sorted((r.face_id, r.photo_id, r.quality, r.x) for r in f.collect())
+    face, photo, quality, vectors = zip(*rows)
+    expected = {(0, face[k]): face[part[0]] for part in naive_split(np.array(vectors), photo, quality, 0.42) for k in part}
+    assert len(set(expected.values())) > 1 and groups_of(cluster.pass1(f)) == expected
+
+
+def test_splitting_takes_memory_in_proportion(spark):
+    import tracemalloc
+
+    x, quality = around(bases(1, 4)[0], 20_000, 0.3, 1), np.arange(20_000) % 7 / 7
+    tracemalloc.start()
+    parts = cluster.split_conflicts(x, np.maximum(np.arange(20_000), 1), quality, 0.42)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(parts) == 2 and sum(map(len, parts)) == 20_000 and peak < 50e6
+
+
 def test_faces_without_an_event(spark):
     f = frame(spark, [(around(bases(2)[0], 6, 0.1, 1), range(6)), (around(bases(2)[1], 5, 0.1, 2), range(5))])
     none = f.withColumn("event_id", F.lit(None).cast(f.schema["event_id"].dataType)).withColumn("face_id", F.concat(F.lit("9"), "face_id"))
