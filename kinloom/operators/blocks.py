@@ -56,7 +56,8 @@ def within(rows: DataFrame, by: list[str], key: str, run: Callable[[pa.Table, pa
         left = table.filter(pa.array(own == a)).select(columns)
         return run(left, left if same else table.filter(pa.array(own == b)).select(columns), same)
 
-    return spread.select(*columns, "own", "a", "b").groupBy(*by, "a", "b").applyInArrow(both, schema)
+    dealt = spread.select(*columns, "own", "a", "b").repartition(*by, "a", "b")  # else all chunks of a group stay in the task that joined them
+    return dealt.groupBy(*by, "a", "b").applyInArrow(both, schema)
 
 
 def across(left: DataFrame, left_key: str, right: DataFrame, right_key: str, run: Callable[[pa.Table, pa.Table], pa.Table], schema: str, size: int = CHUNK) -> DataFrame:
