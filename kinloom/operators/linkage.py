@@ -19,7 +19,9 @@ from ..session import cut
 from . import blocks, graph
 
 #: Rows of a side that one task holds, and rows of those that are compared at once.
-SIDE, STRIP = 8192, 1024
+SIDE, STRIP = 8192, 256
+#: Clusters of which one task holds all distances.
+HELD = 2048
 #: Added to the threshold where parts are sought: rounding must not part them.
 SLACK = 1e-9
 
@@ -28,43 +30,67 @@ def average_linkage(x: np.ndarray, threshold: float, size: np.ndarray | None = N
     """Labels of average-linkage clusters by cosine distance, merged while it is below the threshold.
 
     Follows chains of nearest neighbours: for this linkage, two clusters that are each other's
-    nearest may be merged at once, whatever else is left to merge. Rows may be means of `size` vectors."""
+    nearest may be merged at once, whatever else is left to merge. Rows may be means of `size` vectors.
+    Distances come from the clusters' means; only of up to HELD clusters all are held, so memory grows with the rows.
+    More are first merged many pairs at a time, while that takes a tenth of them off."""
     n = len(x)
     if n < 2:
         return np.zeros(n, int)
-    d = x @ x.T
-    np.subtract(1, d, out=d)  # the one matrix that is held
-    np.fill_diagonal(d, np.inf)
-    size, alive = np.ones(n) if size is None else size.astype(np.float64), np.ones(n, bool)
-    up = np.arange(n)
+    mean, size = np.array(x, np.float64), np.ones(n) if size is None else size.astype(np.float64)
+    names, up = np.arange(n), np.arange(n)
+    before = np.inf
+    while HELD < len(mean) < 0.9 * before:
+        before = len(mean)
+        to, near = nearest(mean)[:2]
+        a = np.flatnonzero((to[to] == np.arange(before)) & (np.arange(before) < to) & (near < threshold))
+        b = to[a]
+        mean[a] = (size[a, None] * mean[a] + size[b, None] * mean[b]) / (size[a] + size[b])[:, None]
+        size[a] += size[b]
+        up[names[b]] = names[a]
+        on = near < threshold
+        on[b] = False
+        mean, size, names = mean[on], size[on], names[on]
+    left, alive = len(mean), np.ones(len(mean), bool)
+    d = None
     chain: list[int] = []
-    left = n
+    far: list[float] = []  # from each of the chain to the one before, as it was found: it falls, so chains end whatever the rounding
     while left > 1:
+        if d is None and (left <= HELD or 2 * left < len(mean)):
+            chain = (np.cumsum(alive) - 1)[chain].tolist()
+            mean, size, names, alive = mean[alive], size[alive], names[alive], np.ones(left, bool)
+            if left <= HELD:
+                d = mean @ mean.T
+                np.subtract(1, d, out=d)
         if not chain:
             chain.append(int(np.argmax(alive)))
+            far.append(np.inf)
         a = chain[-1]
-        row = np.where(alive, d[a], np.inf)
+        row = np.where(alive, 1 - mean @ mean[a] if d is None else d[a], np.inf)
+        row[a] = np.inf
         b = int(np.argmin(row))
-        if len(chain) > 1 and row[chain[-2]] <= row[b]:
-            b = chain[-2]
-        if row[b] >= threshold:  # nothing closer: the whole chain is as good as done
+        near = row[b]
+        if len(chain) > 1 and far[-1] <= near:
+            b, near = chain[-2], far[-1]
+        if not near < threshold:  # nothing closer: the whole chain is as good as done
             alive[a] = False
             left -= 1
             chain.pop()
+            far.pop()
             continue
         if len(chain) > 1 and b == chain[-2]:
-            chain = chain[:-2]
-            merged = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+            del chain[-2:], far[-2:]
             keep, gone = min(a, b), max(a, b)
-            d[keep, :] = merged
-            d[:, keep] = merged
-            d[keep, keep] = np.inf
-            alive[gone] = False
-            up[gone] = keep
+            if d is None:
+                mean[keep] = (size[a] * mean[a] + size[b] * mean[b]) / (size[a] + size[b])
+            else:
+                d[keep, :] = d[:, keep] = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
             size[keep] += size[gone]
+            alive[gone] = False
+            up[names[gone]] = names[keep]
             left -= 1
         else:
             chain.append(b)
+            far.append(near)
     for k in range(n):
         while up[k] != up[up[k]]:
             up[k] = up[up[k]]
@@ -104,7 +130,8 @@ def nearest(x: np.ndarray, y: np.ndarray | None = None) -> tuple[np.ndarray, np.
 
     for at in range(0, len(x), STRIP):
         low = at if same else 0
-        d = 1 - x[at : at + STRIP] @ y[low:].T
+        d = x[at : at + STRIP] @ y[low:].T
+        np.subtract(1, d, out=d)
         if same:
             k = len(d)
             d[:, :k] = np.minimum(d[:, :k], d[:, :k].T)

@@ -46,6 +46,28 @@ def test_linkage_equals_the_plain_version(seed):
     assert {frozenset(np.flatnonzero(labels == g).tolist()) for g in set(labels)} == naive_linkage(x, 0.42)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_linkage_from_means_equals_the_plain_version(seed, monkeypatch):
+    """With all distances held of 4 clusters at most; loose people, some vectors twice."""
+    monkeypatch.setattr(linkage, "HELD", 4)
+    x = np.vstack([around(b, 12, s, seed * 10 + i) for i, (b, s) in enumerate(zip(bases(4), (0.3, 0.9, 1.1, 1.3)))])
+    x = np.vstack([x, x[::9]])
+    labels = cluster.average_linkage(x, 0.42)
+    assert {frozenset(np.flatnonzero(labels == g).tolist()) for g in set(labels)} == naive_linkage(x, 0.42)
+
+
+@pytest.mark.parametrize("spread", [0.3, 1.1])
+def test_linkage_takes_memory_in_proportion(spread):
+    import tracemalloc
+
+    x = around(bases(1, 16)[0], 6000, spread, 1)
+    tracemalloc.start()
+    labels = cluster.average_linkage(x, 0.42)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(labels) == 6000 and peak < 80e6  # all distances are 288 MB
+
+
 def test_linkage_of_one_and_none():
     assert cluster.average_linkage(bases(1), 0.4).tolist() == [0] and cluster.average_linkage(np.zeros((0, 4)), 0.4).tolist() == []
 
