@@ -212,6 +212,15 @@ def test_faces_without_an_event(spark):
     assert len(got) == 22 and sorted(r.person_id for r in got if r.event_id is None) == sorted(r.person_id for r in got if r.event_id is not None) == [0] * 6 + [1] * 5
 
 
+def test_the_second_face_of_a_photo_is_left_over(spark):
+    """As in `leftovers` at size: equal vectors, two of them in one photo; the worse of the two belongs to no one, nor does a small face of a photo that is taken."""
+    x = np.repeat(bases(1), 6, axis=0)
+    f = frame(spark, [(x, [0, 1, 2, 3, 3, 2])]).withColumn("height", F.when(F.col("face_id").endswith("5"), 60).otherwise(200))
+    f = f.withColumn("quality", F.substring("face_id", -1, 1).cast("double") / 10)
+    got = {r.face_id[-1]: r.person_id for r in cluster.identities(f).collect()}
+    assert got == {"0": 0, "1": 0, "2": 0, "3": None, "4": 0, "5": None}
+
+
 def test_a_line_for_each_event(spark):
     f = frame(spark, [(around(bases(1)[0], 12, 0.9, 1), range(12))])
     kind = f.schema["event_id"].dataType
